@@ -13,7 +13,7 @@ so a length that a third of all pieces share is no single task's work.
 
 from __future__ import annotations
 
-import array
+import re
 import zlib
 from collections import defaultdict
 
@@ -24,34 +24,98 @@ from pyspark.sql import functions as F
 from .common import documents, materialize
 
 CAPACITY = 2048
-#: Chunks that a worker remembers, and the most bytes of one that it does.
-MEMO_ENTRIES, MEMO_BYTES = 400_000, 48
+#: Chunks, and parts of chunks, that a worker remembers at most, and the most bytes of one.
+MEMO_ENTRIES, MEMO_BYTES = 600_000, 48
 #: Buckets over which ranks within a length are counted.
 BUCKETS = 1024
 
 
-class ChunkIds(dict):
-    """Ids of chunks between ASCII white space, as little-endian 32-bit bytes.
+class ChunkIds:
+    """Ids of texts, as little-endian 32-bit bytes, by way of remembered chunks.
 
     The tokenizer drops white space before anything spans it, so the ids of a
-    text are those of its chunks in a row.
+    text are those of its chunks between ASCII white space in a row. A chunk of
+    letters and closing punctuation is put together from those two; letters not
+    met before are encoded many at a time.
     """
 
+    PLAIN = re.compile(r"([^\W\d_]+)([.,;:!?#$%&*|-]*)")
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-
-    def __missing__(self, chunk: bytes) -> bytes:
-        ids = np.array(self.tokenizer.encode(chunk.decode("utf-8"), add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if len(chunk) <= MEMO_BYTES and len(self) < MEMO_ENTRIES:
-            self[chunk] = ids
-        return ids
-
-    def ids(self, text: bytes | None) -> bytes:
-        return b"".join(map(self.__getitem__, (text or b"").split()))
+        self.chunks: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {"": b""}
+
+    def encode(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def learn_parts(self, parts: list[str]) -> None:
+        if len(self.parts) > MEMO_ENTRIES:
+            self.parts = {"": b""}
+        for at in range(0, len(parts), 5000):
+            some = parts[at : at + 5000]
+            encoded = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            words, ids = np.array(encoded.word_ids, dtype=np.int64), np.array(encoded.ids, dtype="<u4")
+            if len(words) and words[-1] + 1 == len(some):
+                ends = np.searchsorted(words, np.arange(len(some)), side="right").tolist()
+                packed, start = ids.tobytes(), 0
+                for part, end in zip(some, ends, strict=True):
+                    self.parts[part] = packed[4 * start : 4 * end]
+                    start = end
+            else:  # some part is more than one word to the tokenizer
+                self.parts.update((part, self.encode(part)) for part in some)
+
+    def learn(self, chunks: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of chunks that aren't remembered."""
+        found, plain, new = {}, [], set()
+        for chunk in chunks:
+            text = chunk.decode("utf-8")
+            if len(chunk) <= MEMO_BYTES and (m := self.PLAIN.fullmatch(text)):
+                plain.append((chunk, m[1], m[2]))
+                new.update(m.groups())
+            else:
+                found[chunk] = self.encode(text)
+        self.learn_parts([x for x in new if x not in self.parts])
+        parts = self.parts
+        if any(x not in parts for x in new):  # forgotten just now
+            self.learn_parts([x for x in new if x not in parts])
+            parts = self.parts
+        found.update((chunk, parts[a] + parts[b]) for chunk, a, b in plain)
+        return found
+
+    def texts(self, texts: list[bytes | None], at_once: int = 2_000_000):
+        """Ids of each text in turn; chunks are held for ``at_once`` bytes of text."""
+        at = 0
+        while at < len(texts):
+            end, size = at, 0
+            while end < len(texts) and (end == at or size + len(texts[end] or b"") <= at_once):
+                size += len(texts[end] or b"")
+                end += 1
+            split = [(text or b"").split() for text in texts[at:end]]
+            new = self.learn(set().union(*split).difference(self.chunks))
+            if len(self.chunks) > MEMO_ENTRIES:
+                self.chunks = {}
+                new |= self.learn(set().union(*split).difference(new))
+            self.chunks.update(new)
+            for chunks in split:
+                yield b"".join(map(self.chunks.__getitem__, chunks))
+            for chunk in [x for x in new if len(x) > MEMO_BYTES]:
+                del self.chunks[chunk]
+            at = end
+
+
+#: One of each tokenizer file in a worker, whatever tasks it runs.
+_CHUNK_IDS: dict[str, ChunkIds] = {}
+
+
+def chunk_ids(path: str) -> ChunkIds:
+    if path not in _CHUNK_IDS:
+        _CHUNK_IDS[path] = ChunkIds(path)
+    return _CHUNK_IDS[path]
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -71,12 +135,12 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, separator:
     def cut(batches):
         import pyarrow as pa
 
-        memo = ChunkIds(tokenizer)
+        memo = chunk_ids(tokenizer)
         for batch in batches:
             columns = [[] for _ in range(4)]
             doc_ids = batch.column(0).to_pylist()
-            for doc_id, text in zip(doc_ids, batch.column(1).to_pylist(), strict=True):
-                ids = memo.ids(text) + end
+            for doc_id, ids in zip(doc_ids, memo.texts(batch.column(1).to_pylist()), strict=True):
+                ids += end
                 for piece, at in enumerate(range(0, len(ids), step)):
                     part = ids[at : at + step]
                     for column, value in zip(columns, (doc_id, piece, len(part) // 4, zlib.crc32(part)), strict=True):

@@ -251,6 +251,21 @@ def toxicity(docs: DataFrame, grammar: Grammar, text_col: str = "text", id_col:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, score double, worst_clause double, clauses int")
 
 
+def without_toxic(docs: DataFrame, grammar: Grammar, threshold: float | None = None, text_col: str = "text") -> DataFrame:
+    """``docs``, all columns, without the rows that score ``threshold`` or more; null and empty texts are scored like any."""
+    shared, limit = docs.sparkSession.sparkContext.broadcast(grammar), THRESHOLD if threshold is None else threshold
+
+    def run(batches):
+        import pyarrow as pa
+
+        scorer = Scorer(shared.value)
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
+            yield batch.filter(pa.array([scorer.score(t) < limit for t in texts], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def trained(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Grammar:
     """The grammar learned from all labelled rows that aren't held out."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")

@@ -1,3 +1,7 @@
-"""Query plans by subject."""
+"""Query plans by subject. Each module has PLANS: name -> (query, oracle SQL or None)."""
 
-CATALOGUE: dict = {}
+from __future__ import annotations
+
+from . import votes
+
+CATALOGUE = {**votes.PLANS}

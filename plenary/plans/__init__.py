@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from . import votes
+from . import meetings, votes
 
-CATALOGUE = {**votes.PLANS}
+CATALOGUE = {k: v for m in (votes, meetings) for k, v in m.PLANS.items()}

@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from . import meetings, votes
+from . import meetings, text, votes
 
-CATALOGUE = {k: v for m in (votes, meetings) for k, v in m.PLANS.items()}
+CATALOGUE = {k: v for m in (votes, meetings, text) for k, v in m.PLANS.items()}

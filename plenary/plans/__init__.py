@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from . import meetings, text, votes
+from . import graph, meetings, quality, text, votes
 
-CATALOGUE = {k: v for m in (votes, meetings, text) for k, v in m.PLANS.items()}
+CATALOGUE = {k: v for m in (votes, meetings, text, graph, quality) for k, v in m.PLANS.items()}

@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from . import graph, meetings, quality, replication, text, votes
+from . import events, graph, meetings, quality, replication, text, votes
 
-CATALOGUE = {k: v for m in (votes, meetings, text, graph, quality, replication) for k, v in m.PLANS.items()}
+CATALOGUE = {k: v for m in (votes, meetings, text, graph, quality, replication, events) for k, v in m.PLANS.items()}

@@ -101,7 +101,7 @@ def likeness(a: Column, b: Column) -> Column:
     dot = lambda v: F.aggregate(v, F.lit(0.0), lambda s, e: s + e["0"] * e["1"])
     own = lambda v, i: F.aggregate(v, F.lit(0.0), lambda s, e: s + e[i] * e[i])
     cosine = _let(F.arrays_zip(_signed(a), _signed(b)), lambda v: F.try_divide(dot(v), F.sqrt(own(v, "0") * own(v, "1"))))
-    return F.when(a == b, F.lit(1.0)).otherwise(F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), cosine)), F.lit(0.0)))
+    return F.when(a == b, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(cosine, F.lit(0.0)))))
 
 
 def text_of(fingerprint: Column) -> Column:

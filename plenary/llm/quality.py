@@ -117,7 +117,7 @@ def fit_arrays(x: np.ndarray, y: np.ndarray) -> Model:
         return np.cumsum(np.concatenate([[t[0]], np.exp(t[1:])]))
 
     state = [np.zeros_like(weights), np.zeros_like(theta)]
-    rate = 2.0
+    rates = (2.0, 0.2)
     for _ in range(STEPS):
         cut = ordered(theta)
         margin = (x @ weights.astype(x.dtype)).astype(np.float64)  # x is large: no wider copy of it
@@ -129,9 +129,10 @@ def fit_arrays(x: np.ndarray, y: np.ndarray) -> Model:
         gradient_w = (x.T @ (dlo - dhi).astype(x.dtype)) / n - RIDGE / n * weights
         by_cut = np.array([(dhi[k == g].sum() - dlo[k == g + 1].sum()) / n for g in range(len(cut))])
         gradient_t = np.array([by_cut.sum()] + [np.exp(theta[g]) * by_cut[g:].sum() for g in range(1, len(theta))])
-        for i, (value, gradient) in enumerate(((weights, gradient_w), (theta, gradient_t))):
-            state[i] = 0.9 * state[i] + rate * gradient
+        for i, (value, gradient) in enumerate(((weights, gradient_w), (theta, np.clip(gradient_t, -1, 1)))):
+            state[i] = 0.9 * state[i] + rates[i] * gradient
             value += state[i]
+        theta[1:] = np.clip(theta[1:], -5, 5)  # thresholds stay apart
     return Model(grades, weights, ordered(theta))
 
 

@@ -3,14 +3,18 @@
 Documents with equal shingle sets are one class. Shingles are put in one global
 order, rare ones first, and two sets can only reach the threshold if their
 prefixes share a shingle. Classes with identical prefixes and size form a
-group; shingles of prefixes give pairs of groups, which sizes filter; pairs are
-expanded to members and verified on whole sets.
+group; shingles of prefixes give pairs of groups, which sizes and the places of
+the shingle in either filter; pairs are expanded to members and verified on
+whole sets.
 
 Counting every shingle would shuffle the whole corpus as hashes. But any order
-will do, as long as it is the same for all: shingles whose hash falls below
-``ZONE`` of the hash space come first, by how many classes hold them, the others
-after, by hash. The zone nearly always covers a prefix, so only zone shingles
-are counted; where it falls short, the rest of the prefix is sent along.
+will do, as long as it is the same for all. So there are two passes. In the
+first, shingles whose hash falls below ``ZONE`` of the hash space come first, by
+how many classes hold them, the others after, by hash; the zone nearly always
+covers a prefix, so only its shingles are counted, and where it falls short the
+rest of the prefix is sent along. It leaves the documents whose prefixes meet
+another's, a small part. Whole sets of these alone are ordered by counts in the
+second pass, which makes groups and pairs.
 
 Only components are asked for, so links between documents that are connected
 already are left out. In ``STARS`` rounds, each shingle's groups are compared
@@ -109,7 +113,7 @@ def signatures(docs: DataFrame, words: int, percent: int, text_col: str, id_col:
 
 
 def _sets(docs: DataFrame, ids: DataFrame, words: int, text_col: str, id_col: str) -> DataFrame:
-    """id and whole set (packed) of the documents whose ids are asked for."""
+    """id and whole set of the documents whose ids are asked for."""
 
     def run(batches):
         import pyarrow as pa
@@ -117,10 +121,12 @@ def _sets(docs: DataFrame, ids: DataFrame, words: int, text_col: str, id_col: st
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t, words).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["id", "packed"])
+                found = [shingles(t, words) for t in batch.column(1).to_pylist()]
+                ends = np.cumsum([0] + [len(x) for x in found]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))], names=["id", "tokens"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")).join(ids, "id", "left_semi")
-    return texts.mapInArrow(run, "id long, packed binary").dropDuplicates(["id"])
+    return texts.mapInArrow(run, "id long, tokens array<long>").dropDuplicates(["id"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -130,21 +136,55 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
+            (xs, x_at), (ys, y_at) = ((c.values.to_numpy(), c.offsets.to_numpy()) for c in (batch.column(2), batch.column(3)))
             kept = []
-            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                x, y = (np.frombuffer(v.as_buffer(), np.int64) for v in (x, y))
+            for i in range(batch.num_rows):
+                x, y = xs[x_at[i] : x_at[i + 1]], ys[y_at[i] : y_at[i + 1]]
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 if 100 * both >= percent * (len(x) + len(y) - both):
                     kept.append(i)
             yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(kept, pa.int64())) for c in (0, 1)], names=["a", "b"])
 
-    left, right = (sets.select(F.col("id").alias(c), F.col("packed").alias(f"packed_{c}")) for c in "ab")
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "packed_a", "packed_b").mapInArrow(run, "a long, b long")
+    left, right = (sets.select(F.col("id").alias(c), F.col("tokens").alias(f"tokens_{c}")) for c in "ab")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "tokens_a", "tokens_b").mapInArrow(run, "a long, b long")
 
 
-def _fits(percent: int, one: str = "n", other: str = "other_n"):
-    """Whether two sizes can reach the threshold."""
-    return (F.lit(100) * F.least(one, other) >= F.lit(percent) * F.greatest(one, other)) & F.col(one).isNotNull()
+def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """id, n, own and prefix of ``sets`` (id, n, zone, tokens): those shingles of each prefix that other sets have too.
+
+    The first ``zone`` of the tokens are ordered by how many sets hold them, then
+    by hash, the others after them by hash. ``own`` is how many of the former
+    the set has alone: they come first and match nothing. prefix is an array of
+    (pos, token), pos being the place in the order, from 1.
+    """
+    tokens = sets.select("id", "n", "zone", F.posexplode("tokens").alias("at", "token"))
+    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    held = tokens.join(shared, "token").groupBy("id", "n", "zone").agg(
+        F.array_sort(F.collect_list(F.when(F.col("at") < F.col("zone"), F.struct("df", "token")))).alias("inside"),
+        F.array_sort(F.collect_list(F.when(F.col("at") >= F.col("zone"), F.struct((F.col("at") + 1).alias("pos"), "token")))).alias("outside"),
+    )
+    size = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100).cast("int") + 1
+    inside = F.transform("inside", lambda s, i: F.struct((F.col("own") + i + 1).alias("pos"), s["token"].alias("token")))
+    taken = F.slice(inside, F.lit(1), F.greatest(F.lit(0), size - F.col("own")))
+    return held.withColumn("own", F.col("zone") - F.size("inside")).select("id", "n", "own", F.concat(taken, "outside").alias("prefix")).where(F.size("prefix") > 0)
+
+
+def _busy(postings: DataFrame) -> DataFrame:
+    """``postings`` of tokens that more than one row has."""
+    return postings.join(postings.groupBy("token").agg(F.count(F.lit(1)).alias("lists")).where("lists > 1").select("token"), "token")
+
+
+def _fits(percent: int):
+    """Whether two sets may link, by their sizes and the places of a shingle they share.
+
+    Two sets that link share ``percent / (100 + percent)`` of the sum of their
+    sizes. Before the first shingle that they share, in the common order, they
+    share none, so no more than what follows it in either can be shared. Each
+    pair that links passes at its first shared shingle.
+    """
+    sizes = F.lit(100) * F.least("n", "other_n") >= F.lit(percent) * F.greatest("n", "other_n")
+    most = F.lit(1) + F.least(F.col("n") - F.col("pos"), F.col("other_n") - F.col("other_pos"))
+    return sizes & (F.lit(100 + percent) * most >= F.lit(percent) * (F.col("n") + F.col("other_n")))
 
 
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -160,43 +200,38 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     usable = base.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
     classes = materialize(usable.groupBy("signature").agg(F.min("doc_id").alias("id")), "jaccard-classes")
     first = usable.join(classes.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    tokens = first.select(F.col("doc_id").alias("id"), "n", "zone", F.explode("tokens").alias("token"))
-    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    cut = int(ZONE * 2**64) - (1 << 63)
-    # shingles of one class only come first in the order and match nothing
-    held = tokens.join(shared, "token").groupBy("id", "n", "zone").agg(
-        F.array_sort(F.collect_list(F.when(F.col("token") < cut, F.struct("df", "token")))).alias("inside"),
-        F.collect_list(F.when(F.col("token") >= cut, F.col("token"))).alias("outside"),
-    )
-    prefix_size = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100).cast("int") + 1
-    own = F.col("zone") - F.size("inside")
-    taken = F.slice(F.transform("inside", lambda s: s["token"]), F.lit(1), F.greatest(F.lit(0), prefix_size - own))
-    prefixes = materialize(
-        held.select("id", "n", own.alias("own"), F.array_sort(F.concat(taken, "outside")).alias("prefix")).where(F.size("prefix") > 0),
-        "jaccard-prefixes",
-    )
-    groups = materialize(prefixes.groupBy("n", "prefix").agg(F.min(F.struct("own", "id")).alias("least"), F.count(F.lit(1)).alias("members")).select("n", "prefix", "least.own", F.col("least.id").alias("gid"), "members"), "jaccard-groups")
-    members = materialize(prefixes.select("id", "n", "prefix").join(groups.select("n", "prefix", "gid"), ["n", "prefix"]).select("id", "gid", "n"), "jaccard-members")
-    postings = groups.select(F.explode("prefix").alias("token"), "gid", "n", "own")
-    busy = postings.groupBy("token").agg(F.count(F.lit(1)).alias("lists")).where("lists > 1").select("token")
-    postings = materialize(postings.join(busy, "token"), "jaccard-postings")
-    active = postings.select(F.col("gid").alias("gid")).distinct().join(members, "gid").select("id").union(members.where("id <> gid").select("id")).union(members.where("id <> gid").select("gid")).distinct()
+    # those whose prefixes meet another's in the order of the zone; only their whole sets are needed
+    near = materialize(_prefixes(first.select(F.col("doc_id").alias("id"), "n", "zone", "tokens"), percent), "jaccard-near")
+    active = _busy(near.select("id", F.explode("prefix").alias("s")).select("id", "s.token")).select("id").distinct()
     sets = materialize(_sets(docs, active, words, text_col, id_col), "jaccard-sets")
+    # among them, an order of all shingles by how many sets hold them
+    prefixes = materialize(_prefixes(sets.select("id", F.size("tokens").alias("n"), F.size("tokens").alias("zone"), "tokens"), percent), "jaccard-prefixes")
+    groups = materialize(prefixes.groupBy("n", "prefix").agg(F.min(F.struct("own", "id")).alias("least")).select("n", "prefix", "least.own", F.col("least.id").alias("gid")), "jaccard-groups")
+    members = materialize(prefixes.select("id", "n", "own", "prefix").join(groups.select("n", "prefix", "gid"), ["n", "prefix"]).select("id", "gid", "n", "own"), "jaccard-members")
+    postings = groups.select(F.explode("prefix").alias("s"), "gid", "n", "own").select("s.token", "s.pos", "gid", "n", "own")
+    postings = materialize(_busy(postings), "jaccard-postings")
+
+    # pairs of groups with a centre are expanded to members beforehand: each member stands in its group's lists
+    lists = materialize(postings.join(members.select("gid", "id"), "gid").select("token", "pos", F.col("id").alias("gid"), "n", "own"), "jaccard-lists")
 
-    # round by round: pairs with the centre of each list; first also members with their group's centre
+    # round by round: pairs with the centre of each list
     label = members.select("id", F.col("id").alias("component"))
     links = None
     compared = None
     for star in range(STARS):
-        at = postings if star == 0 else postings.join(label.select(F.col("id").alias("gid"), "component"), "gid")
+        at = lists if star == 0 else lists.join(label.select(F.col("id").alias("gid"), "component"), "gid")
+        centres = at.groupBy("token").agg(F.min(F.struct("own", "gid", "n", "pos")).alias("c"))
         if star:
-            # what isn't in the component of its list's centre looks for a centre of its own
-            centre = at.groupBy("token").agg(F.min(F.struct("own", "gid", "component")).alias("c"))
-            at = at.join(centre, "token").where("component <> c.component").select("token", "gid", "n", "own")
-        centre = at.groupBy("token").agg(F.min(F.struct("own", "gid", "n")).alias("c")).select("token", F.col("c.gid").alias("centre"), F.col("c.n").alias("other_n"))
-        pairs = at.join(centre, "token").where((F.col("gid") != F.col("centre")) & _fits(percent)).select(F.least("gid", "centre").alias("a"), F.greatest("gid", "centre").alias("b"))
-        if star == 0:
-            pairs = pairs.union(members.where("id <> gid").select(F.least("id", "gid").alias("a"), F.greatest("id", "gid").alias("b")))
+            # what isn't in the component of its list's centre meets another member of that, drawn by hash, and a centre of its own
+            of = centres.join(label.select(F.col("id").alias("_gid"), F.col("component").alias("centred")), F.col("c.gid") == F.col("_gid")).select("token", "centred")
+            sided = at.join(of, "token")
+            at = sided.where("component <> centred").drop("component", "centred")
+            drawn = sided.where("component = centred").groupBy("token").agg(F.min(F.struct(F.xxhash64("gid", "token", F.lit(star)).alias("h"), "gid", "n", "pos")).alias("d"))
+            centres = at.groupBy("token").agg(F.min(F.struct("own", "gid", "n", "pos")).alias("c")).select("token", "c.gid", "c.n", "c.pos").union(drawn.select("token", "d.gid", "d.n", "d.pos"))
+        else:
+            centres = centres.select("token", "c.gid", "c.n", "c.pos")
+        centres = centres.select("token", F.col("gid").alias("centre"), F.col("n").alias("other_n"), F.col("pos").alias("other_pos"))
+        pairs = at.join(centres, "token").where((F.col("gid") != F.col("centre")) & _fits(percent)).select(F.least("gid", "centre").alias("a"), F.greatest("gid", "centre").alias("b"))
         pairs = materialize(pairs.distinct() if compared is None else pairs.distinct().join(compared, ["a", "b"], "left_anti"), "jaccard-pairs")
         compared = pairs if compared is None else compared.union(pairs)
         found = materialize(_verified(pairs, sets, percent), "jaccard-links")
@@ -205,14 +240,15 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
 
     # the rest: pairs of groups across components, expanded to their members
     placed = materialize(members.join(label, "id"), "jaccard-placed")
-    spans = placed.groupBy("gid").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    at = postings.join(spans, "gid")
+    spans = placed.groupBy("gid").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("n").alias("n"), F.max("own").alias("own"))
+    at = postings.join(spans.select("gid", "low", "high"), "gid")
     mixed = at.groupBy("token").agg(F.min("low").alias("l"), F.max("high").alias("h")).where("l <> h").select("token")
     at = materialize(at.join(mixed, "token"), "jaccard-mixed")
-    other = at.select("token", F.col("gid").alias("other"), F.col("n").alias("other_n"), F.col("low").alias("other_low"), F.col("high").alias("other_high"))
+    other = at.select("token", F.col("pos").alias("other_pos"), F.col("gid").alias("other"), F.col("n").alias("other_n"), F.col("low").alias("other_low"), F.col("high").alias("other_high"))
     apart = (F.col("low") != F.col("other_low")) | (F.col("high") != F.col("other_high")) | (F.col("low") != F.col("high"))
     group_pairs = at.join(other, "token").where((F.col("gid") < F.col("other")) & _fits(percent) & apart).select("gid", "other").distinct()
-    group_pairs = group_pairs.union(spans.where("low <> high").select("gid", F.col("gid").alias("other")))
+    alike = F.lit(100 + percent) * (F.col("n") - F.col("own")) >= F.lit(2 * percent) * F.col("n")  # as _fits has it, for members of one group
+    group_pairs = group_pairs.union(spans.where((F.col("low") != F.col("high")) & alike).select("gid", F.col("gid").alias("other")))
     one, two = (placed.select(F.col("gid").alias(g), F.col("id").alias(i), F.col("component").alias(f"component_{i}")) for g, i in (("gid", "x"), ("other", "y")))
     rest = (
         group_pairs.join(one, "gid")

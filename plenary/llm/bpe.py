@@ -19,6 +19,7 @@ import hashlib
 import heapq
 import json
 import mmap
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -63,10 +64,12 @@ class Vocabulary:
         self.byte_ids = [0] * 256
         for char, byte in alphabet.items():
             self.byte_ids[byte] = ids[char]
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        self.ranks: dict[int, int] = {}  # by pair, as one number
+        self.made: list[int] = []  # by rank
         for rank, pair in enumerate(model["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
-            self.merges.setdefault((ids[a], ids[b]), (rank, ids[a + b]))
+            self.ranks.setdefault(ids[a] << 32 | ids[b], rank)
+            self.made.append(ids[a + b])
         self.added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         size = max([*ids.values(), *self.added.values()]) + 1
         self.bytes = [b""] * size
@@ -81,31 +84,34 @@ class Vocabulary:
 
     def merge(self, word: bytes) -> list[int]:
         """Ids of ``word`` by exact merging: the lowest rank first, of equals the leftmost."""
-        ids, merges = [self.byte_ids[b] for b in word], self.merges
+        ids, rank_of, made = [self.byte_ids[b] for b in word], self.ranks.get, self.made
+        none = len(made)
         if len(ids) <= SCAN_BYTES:
-            while len(ids) > 1:
-                best = min((merges[p] + (i,) for i, p in enumerate(zip(ids, ids[1:], strict=False)) if p in merges), default=None)
-                if best is None:
-                    break
-                ids[best[2] : best[2] + 2] = [best[1]]
+            ranks = [rank_of(a << 32 | b, none) for a, b in zip(ids, ids[1:], strict=False)]
+            while ranks and (best := min(ranks)) < none:
+                i = ranks.index(best)
+                ids[i] = made[best]
+                del ids[i + 1], ranks[i]
+                if i:
+                    ranks[i - 1] = rank_of(ids[i - 1] << 32 | ids[i], none)
+                if i < len(ranks):
+                    ranks[i] = rank_of(ids[i] << 32 | ids[i + 1], none)
             return ids
         n = len(ids)
         after, before = [*range(1, n), -1], [-1, *range(n - 1)]
-        heap = [(*merges[p], i, p) for i, p in enumerate(zip(ids, ids[1:], strict=False)) if p in merges]
-        heap = [(rank, i, new, p) for rank, new, i, p in heap]
+        heap = [(r, i) for i in range(n - 1) if (r := rank_of(ids[i] << 32 | ids[i + 1], none)) < none]
         heapq.heapify(heap)
         while heap:
-            _, i, new, pair = heapq.heappop(heap)
+            rank, i = heapq.heappop(heap)
             j = after[i]
-            if ids[i] < 0 or j < 0 or (ids[i], ids[j]) != pair:
+            if ids[i] < 0 or j < 0 or rank_of(ids[i] << 32 | ids[j], none) != rank:
                 continue  # one of the two was merged with another meanwhile
-            ids[i], ids[j], after[i] = new, -1, after[j]
+            ids[i], ids[j], after[i] = made[rank], -1, after[j]
             if after[j] >= 0:
                 before[after[j]] = i
             for left, right in ((before[i], i), (i, after[i])):
-                if left >= 0 and right >= 0 and (p := (ids[left], ids[right])) in merges:
-                    rank, made = merges[p]
-                    heapq.heappush(heap, (rank, left, made, p))
+                if left >= 0 and right >= 0 and (r := rank_of(ids[left] << 32 | ids[right], none)) < none:
+                    heapq.heappush(heap, (r, left))
         return [x for x in ids if x >= 0]
 
 
@@ -206,7 +212,7 @@ class Encoder:
             raw = word.encode("utf-8")
             found = self.lexicon and self.lexicon.ids(raw)
             if found is None:
-                found = np.array(self.vocabulary.merge(raw), dtype="<u4").tobytes()
+                found = array("I", self.vocabulary.merge(raw)).tobytes()
             if len(word) <= MEMO_CHARS:
                 if len(self.merged) >= MEMO_ENTRIES:
                     self.merged = {}

@@ -177,7 +177,9 @@ class Lexicon:
         for size in head[1:].tolist():
             parts.append((at, size))
             at += size
-        self.starts, self.targets, self.skips, self.finals, self.ends, self.flat = (np.frombuffer(buffer, dtype="<u4", count=size // 4, offset=at) for at, size in parts[:6])
+        # views of the mapped file, whose items are plain numbers
+        view = memoryview(buffer)
+        self.starts, self.targets, self.skips, self.finals, self.ends, self.flat = (view[at : at + size].cast("I") for at, size in parts[:6])
         self.buffer, self.labels = buffer, parts[6][0]
         self.byte = [bytes([b]) for b in range(256)]
 
@@ -188,13 +190,14 @@ class Lexicon:
 
     def ids(self, word: bytes) -> bytes | None:
         """Ids of ``word`` as little-endian 32-bit bytes; None if it isn't a word of the lexicon."""
-        node, number, base, find = self.root, 0, self.labels, self.buffer.find
+        node, number, base, find, byte = self.root, 0, self.labels, self.buffer.find, self.byte
+        starts, targets, skips = self.starts, self.targets, self.skips
         for b in word:
-            arc = find(self.byte[b], base + int(self.starts[node]), base + int(self.starts[node + 1])) - base
+            arc = find(byte[b], base + starts[node], base + starts[node + 1]) - base
             if arc < 0:
                 return None
-            number += int(self.skips[arc])
-            node = int(self.targets[arc])
+            number += skips[arc]
+            node = targets[arc]
         return self.flat[self.ends[number] : self.ends[number + 1]].tobytes() if self.finals[node] else None
 
 

@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, materialize
+from .common import documents, materialize, release
 from .components import components
 
 WORDS, PERCENT = 4, 85
@@ -202,10 +202,13 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     first = usable.join(classes.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     # those whose prefixes meet another's in the order of the zone; only their whole sets are needed
     near = materialize(_prefixes(first.select(F.col("doc_id").alias("id"), "n", "zone", "tokens"), percent), "jaccard-near")
+    release(docs.sparkSession)
     active = _busy(near.select("id", F.explode("prefix").alias("s")).select("id", "s.token")).select("id").distinct()
     sets = materialize(_sets(docs, active, words, text_col, id_col), "jaccard-sets")
+    release(docs.sparkSession)
     # among them, an order of all shingles by how many sets hold them
     prefixes = materialize(_prefixes(sets.select("id", F.size("tokens").alias("n"), F.size("tokens").alias("zone"), "tokens"), percent), "jaccard-prefixes")
+    release(docs.sparkSession)
     groups = materialize(prefixes.groupBy("n", "prefix").agg(F.min(F.struct("own", "id")).alias("least")).select("n", "prefix", "least.own", F.col("least.id").alias("gid")), "jaccard-groups")
     members = materialize(prefixes.select("id", "n", "own", "prefix").join(groups.select("n", "prefix", "gid"), ["n", "prefix"]).select("id", "gid", "n", "own"), "jaccard-members")
     postings = groups.select(F.explode("prefix").alias("s"), "gid", "n", "own").select("s.token", "s.pos", "gid", "n", "own")
@@ -235,6 +238,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
         pairs = materialize(pairs.distinct() if compared is None else pairs.distinct().join(compared, ["a", "b"], "left_anti"), "jaccard-pairs")
         compared = pairs if compared is None else compared.union(pairs)
         found = materialize(_verified(pairs, sets, percent), "jaccard-links")
+        release(docs.sparkSession)
         links = found if links is None else links.union(found)
         label = materialize(members.select("id").join(components(links), "id", "left").select("id", F.coalesce("component", "id").alias("component")), "jaccard-labels")
 

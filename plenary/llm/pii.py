@@ -6,7 +6,7 @@ signs, phone numbers without a country code, digits with other separators,
 addresses with a port. Boosted regression trees score each proposal by its
 format and its context. They are fitted on the driver on a bounded sample of
 proposals, taught by what the exact patterns decide on those that they can
-judge, and compiled to column expressions; a threshold calibrated on a part
+judge and by near misses made of base spans, and compiled to column expressions; a threshold calibrated on a part
 kept aside selects. So scoring is all DataFrame expressions, in one pass over
 the texts without a shuffle.
 
@@ -142,6 +142,24 @@ def proposals(text: Column, kind: str) -> Column:
     return F.when(text.rlike(GENERATORS[kind]), _located(text, GENERATORS[kind])).otherwise(F.array().cast(_NONE))
 
 
+def _email(match: Column) -> Column:
+    """Whether a proposal is an address once its signs are written out; after the bare word at, dots must be words too."""
+    written = F.regexp_replace(match, r"\x20?(?:@|\(at\)|\[at\]|\x20at\x20)\x20?", "@")
+    written = F.regexp_replace(written, r"\x20?(?:\(dot\)|\[dot\]|\x20dot\x20)\x20?", ".")
+    return F.regexp_like(written, F.lit(r"^[^@\x20]+@[^@\x20]+\.[A-Za-z]{2,}$")) & ~F.regexp_like(match, F.lit(r"\x20at\x20.*\."))
+
+
+def near_misses(match: Column, kind: str) -> list[Column]:
+    """A base span spoiled in ways that its pattern turns down, but nothing else tells apart."""
+    last = F.translate(F.right(match, F.lit(1)), "0123456789", "1234567890")
+    return {
+        "email": lambda: [F.regexp_replace(match, r"(?:\.[A-Za-z0-9-]+)+$", ""), F.concat(match, F.lit("1"))],
+        "ip": lambda: [F.regexp_replace(match, "^[0-9]+", "999"), F.regexp_replace(match, "[0-9]+$", "256")],
+        "card": lambda: [F.concat(F.expr("left(s.match, length(s.match) - 1)"), last)],
+        "phone": lambda: [F.left(match, F.lit(8)), F.concat(match, F.lit(" "), digits_of(match))],
+    }[kind]()
+
+
 def features(text: Column, kind: str, span: Column) -> list[Column]:
     """Format and context of a proposal, as doubles, in the order of ``FEATURES``."""
     match, digits = span["match"], digits_of(span["match"])
@@ -149,7 +167,7 @@ def features(text: Column, kind: str, span: Column) -> list[Column]:
     after = F.substring(text, span["end"] + 1, F.lit(1))
     # an edge is tight if the next character there belongs to a longer word or number
     tight = F.when(F.regexp_like(F.right(before, F.lit(1)), F.lit("[0-9A-Za-z@]")), 1).otherwise(0) + F.when(F.regexp_like(after, F.lit("[0-9A-Za-z@]")), 1).otherwise(0)
-    valid = {"email": F.regexp_like(match, F.lit(r"^[^@]+@[^@]+\.[A-Za-z]{2,}$")), "ip": octets(F.regexp_replace(match, ":.*", "")), "card": luhn(digits), "phone": F.length(digits).between(10, 15)}[kind]
+    valid = {"email": _email(match), "ip": octets(F.regexp_replace(match, ":.*", "")), "card": luhn(digits), "phone": F.length(digits).between(10, 15)}[kind]
     mark = {"email": F.contains(match, F.lit("@")), "ip": ~F.contains(match, F.lit(":")), "card": F.regexp_like(digits, F.lit("^[3-6]")), "phone": F.startswith(match, F.lit("+"))}[kind]
     return [
         c.cast("double")
@@ -211,6 +229,13 @@ def leaf(tree, row) -> float:
     return tree
 
 
+def margin(constant: float, trees: list, row) -> float:
+    """Added up one by one, as the compiled columns are: sum() compensates rounding, so a margin at the threshold could differ."""
+    for tree in trees:
+        constant += leaf(tree, row)
+    return constant
+
+
 def compiled(tree, columns) -> Column:
     """A tree as a column expression."""
     if not isinstance(tree, tuple):
@@ -222,8 +247,10 @@ def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sample_
     """By kind: constant, trees and threshold on the margin; kinds that the sample can't teach are absent.
 
     Only proposals that bear the kind's mark teach, since the base patterns can
-    judge them: base spans are positive examples, others negative ones. At most ``sample_spans``
-    proposals of about ``sample_docs`` documents reach the driver.
+    judge them: base spans are positive examples, others negative ones, and so
+    are near misses of each base span. So no kind depends on chance negatives;
+    absent are only those with next to no base spans. At most ``sample_spans``
+    examples of about ``sample_docs`` documents reach the driver.
     """
     texts = smallest_hashes(docs.where(F.col(id_col).isNotNull()), id_col, sample_docs).select(F.xxhash64(F.col(id_col)).alias("h"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     models = {}
@@ -231,14 +258,18 @@ def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sample_
         found = texts.select("h", "text", base_spans(F.col("text"), kind).alias("base"), proposals(F.col("text"), kind).alias("all")).where(F.size("all") > 0)
         spans = found.select("h", "text", "base", F.explode("all").alias("s"))
         is_base = F.exists("base", lambda b: (b["start"] == F.col("s.start")) & (b["end"] == F.col("s.end")))
-        judged = spans.select("h", F.col("s.start").alias("start"), is_base.cast("int").alias("y"), F.array(*features(F.col("text"), kind, F.col("s"))).alias("x"))
-        rows = judged.where(F.element_at("x", FEATURES.index("mark") + 1) > 0).orderBy("h", "start").limit(sample_spans // len(KINDS)).collect()
+        spans = spans.withColumn("y", is_base.cast("int"))
+        missed = F.array(*(F.struct(F.col("s.start").alias("start"), F.col("s.end").alias("end"), m.alias("match")) for m in near_misses(F.col("s.match"), kind)))
+        spoiled = spans.where("y = 1").select("h", "text", F.posexplode(missed).alias("at", "s"), F.lit(0).alias("y"))
+        spans = spans.select("h", "text", F.lit(-1).alias("at"), "s", "y").unionByName(spoiled)
+        judged = spans.select("h", F.col("s.start").alias("start"), "at", "y", F.array(*features(F.col("text"), kind, F.col("s"))).alias("x"))
+        rows = judged.where(F.element_at("x", FEATURES.index("mark") + 1) > 0).orderBy("h", "start", "at").limit(sample_spans // len(KINDS)).collect()
         part = [(r["x"], r["y"], i % 4 == 3) for i, r in enumerate(rows)]
         train, aside = [(x, y) for x, y, out in part if not out], [(x, y) for x, y, out in part if out]
         if min(sum(y for _, y in train), sum(1 - y for _, y in train)) < LEAST or not aside:
             continue
         constant, trees = boost([tuple(x) for x, _ in train], [y for _, y in train])
-        margins = sorted(((constant + sum(leaf(t, x) for t in trees), y) for x, y in aside), reverse=True)
+        margins = sorted(((margin(constant, trees, x), y) for x, y in aside), reverse=True)
         threshold, right = None, 0
         for i, (m, y) in enumerate(margins, 1):
             right += y
@@ -250,7 +281,7 @@ def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sample_
 
 
 def _added(text: Column, kind: str, model, base: Column) -> Column:
-    """Proposals that the trees select and that overlap no base span of the kind.
+    """Proposals that the trees select and that overlap no base span of the kind, or add a port to one.
 
     One without the kind's mark, which no base pattern can judge, must also
     follow a word that announces such data. Proposals of a kind never overlap
@@ -260,12 +291,17 @@ def _added(text: Column, kind: str, model, base: Column) -> Column:
 
     def sure(span: Column) -> Column:
         def decide(x: Column) -> Column:
-            margin = sum((compiled(t, [x[i] for i in range(len(FEATURES))]) for t in trees), F.lit(constant))
-            return (margin >= threshold) & (x[FEATURES.index("mark")] + x[FEATURES.index("cue")] > 0)
+            total = sum((compiled(t, [x[i] for i in range(len(FEATURES))]) for t in trees), F.lit(constant))
+            return (total >= threshold) & (x[FEATURES.index("mark")] + x[FEATURES.index("cue")] > 0)
 
         return _let(F.array(*features(text, kind, span)), decide)
 
-    return F.filter(proposals(text, kind), lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"])) & sure(s))
+    def taken(span: Column) -> Column:
+        if kind == "ip":  # an address with its port goes beyond the base span that it begins with
+            return F.exists(base, lambda b: (b["start"] < span["end"]) & (b["end"] > span["start"]) & ((b["start"] != span["start"]) | (b["end"] >= span["end"])))
+        return F.exists(base, lambda b: (b["start"] < span["end"]) & (b["end"] > span["start"]))
+
+    return F.filter(proposals(text, kind), lambda s: ~taken(s) & sure(s))
 
 
 def find(docs: DataFrame, models: dict | None = None, text_col: str = "text", id_col: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:

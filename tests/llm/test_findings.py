@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 pytest.importorskip("public_tokenizers")
 import corpus_pipeline  # noqa: E402
+from plenary.llm import pii  # noqa: E402
 
 
 def test_pipeline_near_copies_between_the_thresholds(spark):
@@ -14,3 +15,14 @@ def test_pipeline_near_copies_between_the_thresholds(spark):
     apart = [*words[:10], "changed", *words[11:40], "again", *words[41:]]
     df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(other)), (3, " ".join(apart)), (4, None)], "doc_id long, text string")
     assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, df, "").collect()} == {1, 3, 4}
+
+
+def test_pii_adds_announced_proposals_of_every_kind(spark):
+    """Base spans alone teach: no text holds a chance negative."""
+    base = lambda i: f"say user{i}@host{i % 7}.org then +1 ({200 + i}) 555-{3000 + i} then 10.{i}.0.1 then 4111 1111 1111 1111 end"
+    more = ["email: ann.lee (at) example (dot) com now", "server 10.1.2.3:8080 now", "tel (058) 555-3468 now", "credit 4111.1111.1111.1111 now"]
+    none = ["wait at noon. Then go", "email us at noon. Then go", "server 10.1.2.999:8080 now", "tel 55 12 34 now", "score (058) 555-3468 now", "credit 4111.1111.1111.1112 now"]
+    df = spark.createDataFrame(list(enumerate([base(i) for i in range(60)] + more + none)), "doc_id long, text string")
+    found = pii.find(df, keep=("text",)).where("doc_id >= 60").orderBy("doc_id")
+    got = [sorted(s.match for kind in pii.KINDS for s in r[f"added_{kind}"]) for r in found.collect()]
+    assert got == [["ann.lee (at) example (dot) com"], ["10.1.2.3:8080"], ["(058) 555-3468"], ["4111.1111.1111.1111"]] + [[]] * len(none)

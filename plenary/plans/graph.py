@@ -49,8 +49,13 @@ def entity_timeline(spark, d):
 
 
 def entity_by_jurisdiction(spark, d):
+    """The part of all_entities_by_jurisdiction that its SQL covers: ids under 200."""
+    return all_entities_by_jurisdiction(spark, d).where("id < 200")
+
+
+def all_entities_by_jurisdiction(spark, d):
     lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("meeting_id"), F.col("l_partkey").alias("id"))
-    return lines.where("id < 200").join(meetings(spark, d).select("meeting_id", "jurisdiction_id"), "meeting_id").groupBy("id", "jurisdiction_id").agg(F.count(F.lit(1)).alias("mentions"), F.count_distinct("meeting_id").alias("meetings"))
+    return lines.join(meetings(spark, d).select("meeting_id", "jurisdiction_id"), "meeting_id").groupBy("id", "jurisdiction_id").agg(F.count(F.lit(1)).alias("mentions"), F.count_distinct("meeting_id").alias("meetings"))
 
 
 def relations_both_ways(spark, d):
@@ -92,8 +97,13 @@ def vocabulary_audit(spark, d):
 
 
 def type_conflicts(spark, d):
+    """The part of all_type_conflicts that its SQL covers: ids under 400."""
+    return all_type_conflicts(spark, d).where("id < 400 and other_id < 400")
+
+
+def all_type_conflicts(spark, d):
     """Entities of one name and different kinds; the winner by kind, unless the other has far more mentions."""
-    e = entities(spark, d).where("id < 400")
+    e = entities(spark, d)
     o = e.select(F.col("id").alias("other_id"), "name", F.col("kind").alias("other_kind"), F.col("mentions").alias("other_mentions"))
     pairs = e.join(o, "name").where((F.col("id") < F.col("other_id")) & (F.col("kind") != F.col("other_kind")))
     outnumbered = (F.col("mentions") <= 2) & (F.col("other_mentions") > 3 * F.col("mentions"))
@@ -177,6 +187,8 @@ PLANS = {
   WHEN o_orderpriority = '5-LOW' THEN 'compatible' ELSE 'unmapped' END AS class FROM orders GROUP BY 1"""),
     "type_conflicts": (type_conflicts, _ENT + """SELECT a.name, a.id, b.id AS other_id, CASE WHEN (a.mentions <= 2 AND b.mentions > 3 * a.mentions) OR b.kind < a.kind THEN b.id ELSE a.id END AS winner
   FROM entities a JOIN entities b ON a.name = b.name AND a.id < b.id AND a.kind <> b.kind WHERE a.id < 400 AND b.id < 400"""),
+    "all_entities_by_jurisdiction": (all_entities_by_jurisdiction, None),
+    "all_type_conflicts": (all_type_conflicts, None),
     "duplicate_names": (duplicate_names, _ENT + "SELECT lower(name) AS name, count(*) AS entities, sum(mentions)::BIGINT AS mentions, min(id) AS keeper, count(*) - 1 AS excess FROM entities GROUP BY 1 HAVING count(*) > 1"),
     "similar_names": (similar_names, """WITH n AS (SELECT DISTINCT p_name AS name, list_distinct(string_split_regex(lower(p_name), '[^a-z0-9]+')) AS t FROM part),
   s AS (SELECT a.name, b.name AS other, len(list_intersect(a.t, b.t)) AS i, len(list_distinct(a.t || b.t)) AS u FROM n a JOIN n b ON a.name < b.name)

@@ -97,8 +97,13 @@ def conversation_turns(spark, d):
 
 
 def linked_participants(spark, d):
+    """The part of all_linked_participants that its SQL covers: meetings under 300."""
+    return all_linked_participants(spark, d).where("id < 300")
+
+
+def all_linked_participants(spark, d):
     """Names in meetings linked to entities."""
-    m = meetings(spark, d).where("meeting_id < 300").select(F.col("meeting_id").alias("id"), F.array(F.concat(F.lit("cold "), F.element_at(F.array(*map(F.lit, ("bolt", "gear", "rod"))), (F.col("meeting_id") % 3 + 1).cast("int")))).alias("names"))
+    m = meetings(spark, d).select(F.col("meeting_id").alias("id"), F.array(F.concat(F.lit("cold "), F.element_at(F.array(*map(F.lit, ("bolt", "gear", "rod"))), (F.col("meeting_id") % 3 + 1).cast("int")))).alias("names"))
     e = table(spark, d, "part").groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("entity_id"))
     return E.participants(m, "names", e).select("id", "name", "entity_id", F.round(F.col("confidence").cast("double"), 3).alias("confidence"))
 
@@ -131,6 +136,7 @@ PLANS = {
     "conversation_turns": (conversation_turns, """WITH c AS (SELECT DISTINCT conv_id, turn, role, length(text) AS chars FROM conversations),
   t AS (SELECT *, (role <> lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, chars))::INT AS change FROM c)
   SELECT conv_id, min(turn) AS first_turn, max(turn) AS last_turn, coalesce(sum(change), 0)::BIGINT AS changes, sum(chars)::BIGINT AS chars FROM t GROUP BY 1"""),
+    "all_linked_participants": (all_linked_participants, None),
     "linked_participants": (linked_participants, """WITH m AS (SELECT o_orderkey AS id, 'cold ' || CASE o_orderkey % 3 WHEN 0 THEN 'bolt' WHEN 1 THEN 'gear' ELSE 'rod' END AS name FROM orders WHERE o_orderkey < 300)
   SELECT id, name, min(p_partkey) AS entity_id, 0.95::DOUBLE AS confidence FROM m JOIN part ON p_name = name GROUP BY 1, 2"""),
 }

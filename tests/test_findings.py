@@ -18,7 +18,7 @@ def small(tmp_path_factory):
         "customer": "SELECT range AS c_custkey, 0 AS c_nationkey FROM range(20)",
         "part": "SELECT range AS p_partkey, ['cold bolt', 'cold gear', 'hot rod'][1 + range % 3] AS p_name, 'Brand#' || (range % 2) AS p_brand, 'TYPE' AS p_type FROM range(395, 1210, 5)",
         "orders": "SELECT range AS o_orderkey, range % 20 AS o_custkey, 'F' AS o_orderstatus, '1-URGENT' AS o_orderpriority, 1.0 AS o_totalprice, TIMESTAMP '1997-05-01' + INTERVAL (range % 30) DAY AS o_orderdate FROM range(250, 350)",
-        "lineitem": "SELECT range AS l_orderkey, 395 + 5 * (range % 7) AS l_partkey, range % 4 AS l_suppkey, 'F' AS l_linestatus FROM range(250, 350)",
+        "lineitem": "SELECT range AS l_orderkey, 395 + 5 * (range % 7) AS l_partkey, range % 4 AS l_suppkey, 'F' AS l_linestatus FROM range(250, 350) UNION ALL SELECT range, 1205, 9, 'F' FROM range(250, 350)",
         "documents": "SELECT 1 AS doc_id, 'Nation nation tion' AS text UNION ALL SELECT 2, 'other nation'",
         "events": "SELECT range AS event_id, range AS user_id, 'view' AS event_type, TIMESTAMP '2024-01-01 01:00:00' + INTERVAL (range) DAY AS ts FROM range(10)",
     }
@@ -51,3 +51,24 @@ def test_all_entities_by_jurisdiction(spark, small):
     for _, p, *_ in small[1]["lineitem"]:
         want[p] = want.get(p, 0) + 1
     assert {(r.id, r.jurisdiction_id, r.mentions, r.meetings) for r in run(spark, small, "all_entities_by_jurisdiction")} == {(p, 1, n, n) for p, n in want.items()}
+
+
+def test_all_linked_participants(spark, small):
+    first = {}
+    for i, name, *_ in small[1]["part"]:
+        first[name] = min(i, first.get(name, i))
+    got = {(r.id, r.name): (r.entity_id, r.confidence) for r in run(spark, small, "all_linked_participants")}
+    names = ("cold bolt", "cold gear", "cold rod")
+    exact = {(m, names[m % 3]): (first[names[m % 3]], 0.95) for m, *_ in small[1]["orders"] if names[m % 3] in first}
+    assert {k: v for k, v in got.items() if v[1] == 0.95} == exact and max(m for m, _ in exact) >= 300
+
+
+def test_all_unique_conflicts(spark, small):
+    first, want = {}, set()
+    for i, name, brand, kind in small[1]["part"]:
+        first[name, brand, kind] = min(i, first.get((name, brand, kind), i))
+    for i, *code in small[1]["part"]:
+        if first[tuple(code)] != i:
+            want.add(("/".join(code), i))
+    got = run(spark, small, "all_unique_conflicts")
+    assert len(got) == len(want) and {(r.code, r.p_partkey) for r in got} == want and max(i for _, i in want) > 600

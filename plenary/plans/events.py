@@ -63,10 +63,15 @@ def daily_windows(spark, d):
 
 
 def sliding_windows(spark, d):
-    """Views in windows of a day that begin every six hours, of the first three days."""
+    """The part of all_sliding_windows that its SQL covers: the first three days."""
+    return all_sliding_windows(spark, d).where("start >= '2024-01-01 00' and start < '2024-01-04 00'")
+
+
+def all_sliding_windows(spark, d):
+    """Views in windows of a day that begin every six hours."""
     e = table(spark, d, "events").where("event_type = 'view'")
     w = e.groupBy(F.window("ts", "24 hours", "6 hours").alias("w")).agg(F.count(F.lit(1)).alias("views"))
-    return w.where("w.start >= '2024-01-01' and w.start < '2024-01-04'").select(F.date_format("w.start", "yyyy-MM-dd HH").alias("start"), "views")
+    return w.select(F.date_format("w.start", "yyyy-MM-dd HH").alias("start"), "views")
 
 
 def rate_limited(spark, d):
@@ -128,6 +133,7 @@ PLANS = {
   GROUP BY 1 ORDER BY views DESC, user_id LIMIT 5"""),
     "view_counts": (view_counts, "SELECT user_id, count(*) AS views, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_view FROM events WHERE event_type = 'view' GROUP BY 1"),
     "daily_windows": (daily_windows, "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS events, round(sum(value), 2) AS amount FROM events GROUP BY 1, 2"),
+    "all_sliding_windows": (all_sliding_windows, None),
     "sliding_windows": (sliding_windows, """SELECT strftime(s, '%Y-%m-%d %H') AS start, count(*) AS views FROM range(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-04', INTERVAL 6 HOURS) t(s)
   JOIN events ON ts >= s AND ts < s + INTERVAL 24 HOURS WHERE event_type = 'view' GROUP BY 1"""),
     "rate_limited": (rate_limited, """SELECT event_type, count(*) AS limited FROM (SELECT event_type, count(*) OVER (PARTITION BY user_id, event_type ORDER BY floor(epoch(ts))::BIGINT RANGE BETWEEN 36000 PRECEDING AND CURRENT ROW) AS recent FROM events) WHERE recent >= 3 GROUP BY 1"""),

@@ -142,11 +142,22 @@ def integrity_invariants(spark, d):
 
 
 def supporting_edges(spark, d):
-    """Relational division: of each body, the members who were present at all its meetings of a month."""
-    held = meetings(spark, d).where(F.col("meeting_date").between("1997-05-01", "1997-05-03")).select("meeting_id", "body")
-    need = held.groupBy("body").agg(F.count(F.lit(1)).alias("need"))
-    has = held.join(attendance(spark, d).where("present"), "meeting_id").groupBy("body", "member_id").agg(F.count(F.lit(1)).alias("has"))
-    return has.join(need, "body").where("has = need").select("body", "member_id", "need")
+    """Of each body, the members who were present at all its meetings of the three days that its SQL covers."""
+    held = meetings(spark, d).where(F.col("meeting_date").between("1997-05-01", "1997-05-03"))
+    return _always_present(spark, d, held.select("meeting_id", "body"), ["body"])
+
+
+def monthly_supporting_edges(spark, d):
+    """Of each body and month, the members who were present at all its meetings of the month."""
+    held = meetings(spark, d).select("meeting_id", "body", F.left("meeting_date", F.lit(7)).alias("month"))
+    return _always_present(spark, d, held, ["body", "month"])
+
+
+def _always_present(spark, d, held, keys):
+    """Relational division: of each group of meetings, the members present at all of them."""
+    need = held.groupBy(*keys).agg(F.count(F.lit(1)).alias("need"))
+    has = held.join(attendance(spark, d).where("present"), "meeting_id").groupBy(*keys, "member_id").agg(F.count(F.lit(1)).alias("has"))
+    return has.join(need, keys).where("has = need").select(*keys, "member_id", "need")
 
 
 def polymorphic_documents(spark, d):
@@ -202,6 +213,7 @@ PLANS = {
     "supporting_edges": (supporting_edges, with_views("attendance", "meetings", more="""held AS (SELECT meeting_id, body FROM meetings WHERE meeting_date BETWEEN '1997-05-01' AND '1997-05-03')""")
   + """SELECT body, member_id, need FROM (SELECT body, member_id, count(*) AS has FROM held JOIN attendance USING (meeting_id) WHERE present GROUP BY 1, 2)
   JOIN (SELECT body, count(*) AS need FROM held GROUP BY 1) USING (body) WHERE has = need"""),
+    "monthly_supporting_edges": (monthly_supporting_edges, None),
     "polymorphic_documents": (polymorphic_documents, """SELECT 'document' AS source_type, lang AS about, count(*) AS labels FROM labels JOIN documents USING (doc_id) WHERE doc_id % 2 = 0 GROUP BY 2
   UNION ALL SELECT 'conversation', role, count(*) FROM labels JOIN (SELECT DISTINCT conv_id, role FROM conversations) ON conv_id = doc_id WHERE doc_id % 2 <> 0 GROUP BY 2"""),
 }

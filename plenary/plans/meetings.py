@@ -108,10 +108,15 @@ def attendance_reconcile(spark, d):
 
 
 def revision_history(spark, d):
+    """The part of all_revision_history that its SQL covers: cases whose number ends in 3."""
+    return all_revision_history(spark, d).where("case_id % 10 = 3")
+
+
+def all_revision_history(spark, d):
     """Purchases of a customer as revisions of a case, each with the days since the last."""
     from pyspark.sql import Window
 
-    o = table(spark, d, "orders").where(F.col("o_custkey") % 10 == 3).select(F.col("o_custkey").alias("case_id"), F.col("o_orderkey").alias("item_id"), F.to_date("o_orderdate").alias("day"))
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("case_id"), F.col("o_orderkey").alias("item_id"), F.to_date("o_orderdate").alias("day"))
     w = Window.partitionBy("case_id").orderBy("day", "item_id")
     return o.select("case_id", "item_id", F.date_format("day", "yyyy-MM-dd").alias("on_day"), F.row_number().over(w).cast("long").alias("revision"), F.datediff("day", F.lag("day").over(w)).cast("long").alias("days_since"))
 
@@ -196,6 +201,7 @@ PLANS = {
   count(*) AS rows, count(*) FILTER (coalesce(n.present, was)) AS present
   FROM (SELECT meeting_id, member_id, present AS was FROM attendance WHERE member_id % 3 <> 0) o
   FULL JOIN (SELECT meeting_id, member_id, present <> (member_id % 5 = 0) AS present FROM attendance WHERE member_id % 4 <> 0) n USING (meeting_id, member_id) GROUP BY 1"""),
+    "all_revision_history": (all_revision_history, None),
     "revision_history": (revision_history, """SELECT o_custkey AS case_id, o_orderkey AS item_id, strftime(o_orderdate, '%Y-%m-%d') AS on_day,
   row_number() OVER w AS revision, date_diff('day', lag(o_orderdate) OVER w, o_orderdate) AS days_since
   FROM orders WHERE o_custkey % 10 = 3 WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)"""),

@@ -1,15 +1,14 @@
 """Whole queries of the review of round 1, against brute force on small tables beyond the ids that their parts cover."""
 
+import collections
 import datetime
+import re
 
 import duckdb
 import pytest
 
 from plenary import registry
 
-DAY = datetime.date(1997, 5, 1)
-
-
 @pytest.fixture(scope="module")
 def small(tmp_path_factory):
     d, con = tmp_path_factory.mktemp("small"), duckdb.connect()
@@ -17,7 +16,7 @@ def small(tmp_path_factory):
         "nation": "SELECT 0 AS n_nationkey, 'NATION_0' AS n_name, 1 AS n_regionkey",
         "customer": "SELECT range AS c_custkey, 0 AS c_nationkey FROM range(20)",
         "part": "SELECT range AS p_partkey, ['cold bolt', 'cold gear', 'hot rod'][1 + range % 3] AS p_name, 'Brand#' || (range % 2) AS p_brand, 'TYPE' AS p_type FROM range(395, 1210, 5)",
-        "orders": "SELECT range AS o_orderkey, range % 20 AS o_custkey, 'F' AS o_orderstatus, '1-URGENT' AS o_orderpriority, 1.0 AS o_totalprice, TIMESTAMP '1997-05-01' + INTERVAL (range % 30) DAY AS o_orderdate FROM range(250, 350)",
+        "orders": "SELECT range AS o_orderkey, range % 20 AS o_custkey, 'F' AS o_orderstatus, '1-URGENT' AS o_orderpriority, 1.0 AS o_totalprice, TIMESTAMP '1997-05-01' + INTERVAL (range % 60) DAY AS o_orderdate FROM range(250, 350)",
         "lineitem": "SELECT range AS l_orderkey, 395 + 5 * (range % 7) AS l_partkey, range % 4 AS l_suppkey, 'F' AS l_linestatus FROM range(250, 350) UNION ALL SELECT range, 1205, 9, 'F' FROM range(250, 350)",
         "documents": "SELECT 1 AS doc_id, 'Nation nation tion' AS text UNION ALL SELECT 2, 'other nation'",
         "events": "SELECT range AS event_id, range AS user_id, 'view' AS event_type, TIMESTAMP '2024-01-01 01:00:00' + INTERVAL (range) DAY AS ts FROM range(10)",
@@ -72,3 +71,41 @@ def test_all_unique_conflicts(spark, small):
             want.add(("/".join(code), i))
     got = run(spark, small, "all_unique_conflicts")
     assert len(got) == len(want) and {(r.code, r.p_partkey) for r in got} == want and max(i for _, i in want) > 600
+
+
+def test_all_revision_history(spark, small):
+    cases = collections.defaultdict(list)
+    for item, case, *_, at in small[1]["orders"]:
+        cases[case].append((at.date(), item))
+    want = set()
+    for case, held in cases.items():
+        held.sort()
+        want |= {(case, item, day.isoformat(), n + 1, (day - held[n - 1][0]).days if n else None) for n, (day, item) in enumerate(held)}
+    got = run(spark, small, "all_revision_history")
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_whole_token_index(spark, small):
+    terms = collections.defaultdict(list)
+    for i, text in small[1]["documents"]:
+        for t in re.findall("[a-z0-9]+", text.lower()):
+            terms[t].append(i)
+    assert {tuple(r) for r in run(spark, small, "whole_token_index")} == {(t, len(set(ids)), len(ids)) for t, ids in terms.items()}
+
+
+def test_all_sliding_windows(spark, small):
+    want = collections.Counter()
+    for *_, at in small[1]["events"]:
+        begins = at.replace(hour=at.hour // 6 * 6, minute=0)
+        want.update((begins - datetime.timedelta(hours=6 * k)).strftime("%Y-%m-%d %H") for k in range(4))
+    assert {r.start: r.views for r in run(spark, small, "all_sliding_windows")} == want and max(want) > "2024-01-04"
+
+
+def test_monthly_supporting_edges(spark, small):
+    held, seen = collections.defaultdict(set), collections.defaultdict(set)
+    for m, *_, at in small[1]["orders"]:
+        held["NATION_0", at.strftime("%Y-%m")].add(m)
+    for m, _, member, _ in small[1]["lineitem"]:
+        seen[member].add(m)
+    want = {(body, month, member, len(ids)) for (body, month), ids in held.items() for member in seen if ids <= seen[member]}
+    assert {tuple(r) for r in run(spark, small, "monthly_supporting_edges")} == want and len(want) == 2

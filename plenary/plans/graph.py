@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import name_similarity, org_name, tokens, vocabulary_of
 from ..operators.relational import distinct_on, top_per_group
-from ..operators.resolution import blocked_pairs, survivors
+from ..operators.resolution import blocked_pairs, components, survivors
 from ..sources.civic import attendance, meetings, table, with_views
 
 #: Which kind of entity a relation may go from and to.
@@ -123,9 +123,41 @@ def similar_names(spark, d):
 
 
 def merge_plan(spark, d):
-    """Entities merged into the most mentioned one of the same name, with summed mentions."""
+    """Entities merged into the most mentioned one of exactly the same name, with summed mentions: the step that its SQL covers."""
     e = entities(spark, d)
-    label = e.select("id", F.min("id").over(Window.partitionBy("name")).alias("component"))
+    return _merged(e, e.select("id", F.min("id").over(Window.partitionBy("name")).alias("component")))
+
+
+def similar_merge_plan(spark, d):
+    """Entities merged into the most mentioned one of a component of similar names, with summed mentions."""
+    e = entities(spark, d)
+    names = e.where("name is not null").select(F.col("name").alias("id")).distinct()
+    label = components(_alike(names), names, save=_save(spark))
+    return _merged(e, e.join(label.select(F.col("id").alias("name"), "component"), "name", "left").select("id", F.coalesce("component", F.concat(F.lit("\0"), F.col("id").cast("string"))).alias("component")))
+
+
+def _alike(names):
+    """Pairs (a, b) of names with a similarity of 0.85 or more.
+
+    All of them share a word, or one contains the other: then its first three
+    characters are among those of the longer. Acronyms count 0.75 and can't merge.
+    """
+    shared = blocked_pairs(names, "id", tokens(F.col("id"))).select(F.col("id").alias("a"), F.col("other_id").alias("b"))
+    heads = names.select(F.col("id").alias("a"), F.left("id", F.lit(3)).alias("_block")).where("a <> ''")
+    at = F.sequence(F.lit(1), F.length("id"))
+    parts = F.flatten(F.transform(at, lambda i: F.array(*(F.substring(F.col("id"), i, F.lit(n)) for n in (1, 2, 3)))))
+    longer = names.where("id <> ''").select(F.col("id").alias("b"), F.explode(F.array_distinct(parts)).alias("_block"))
+    inside = heads.join(longer, "_block").where((F.col("a") != F.col("b")) & F.contains("b", "a")).select("a", "b")
+    return shared.union(inside).distinct().where(name_similarity(F.col("a"), F.col("b")) >= 0.85)
+
+
+def _save(spark):
+    """How rounds are cut: a reliable checkpoint; only a local master may do without its folder."""
+    local = spark.sparkContext.master.partition("[")[0] == "local"
+    return (lambda df: df.localCheckpoint()) if local and not spark.conf.get("spark.checkpoint.dir", None) else None
+
+
+def _merged(e, label):
     s = survivors(e, label, "mentions")
     return e.join(s, "id").groupBy("survivor").agg(F.count(F.lit(1)).alias("merged"), F.sum("mentions").alias("mentions"), F.count_if(F.col("id") != F.col("survivor")).alias("victims"))
 
@@ -206,6 +238,7 @@ PLANS = {
   SELECT name, other, round(greatest(i / u, CASE WHEN contains(name, other) OR contains(other, name) THEN 0.85 ELSE 0 END), 4)::DOUBLE AS similarity FROM s WHERE i > 0 AND i / u > 0.3"""),
     "merge_plan": (merge_plan, _ENT + """SELECT survivor, count(*) AS merged, sum(mentions)::BIGINT AS mentions, count(*) FILTER (id <> survivor) AS victims
   FROM (SELECT *, first_value(id) OVER (PARTITION BY name ORDER BY mentions DESC, id) AS survivor FROM entities) GROUP BY 1"""),
+    "similar_merge_plan": (similar_merge_plan, None),
     "integrity_invariants": (integrity_invariants, """SELECT 'repeated_items' AS invariant, coalesce(sum(n), 0)::BIGINT AS rows FROM (SELECT count(*) - 1 AS n FROM lineitem GROUP BY l_orderkey, l_linenumber)
   UNION ALL SELECT 'meetings_without_items', count(*) FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)
   UNION ALL SELECT 'unknown_entities', count(*) FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM part WHERE l_partkey = p_partkey)

@@ -109,3 +109,32 @@ def test_monthly_supporting_edges(spark, small):
         seen[member].add(m)
     want = {(body, month, member, len(ids)) for (body, month), ids in held.items() for member in seen if ids <= seen[member]}
     assert {tuple(r) for r in run(spark, small, "monthly_supporting_edges")} == want and len(want) == 2
+
+
+def test_similar_merge_plan(spark, tmp_path):
+    """Against all pairs: words in another order, a suffix, containment without a shared word, a chain, an acronym."""
+    names = ["river oak trust", "trust river oak", "river oak trust llc", "Acme", "Acme LLC", "oldbolt", "coldbolts", "Salt Power", "SP", "ab", "xaby", "lone", "lone", None, None, ""]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE part (p_partkey BIGINT, p_name VARCHAR, p_brand VARCHAR)")
+    con.executemany("INSERT INTO part VALUES (?, ?, 'B')", list(enumerate(names)))
+    con.sql(f"COPY part TO '{tmp_path}/part.parquet' (FORMAT parquet)")
+    con.sql(f"COPY (SELECT (range * range) % {len(names)} AS l_partkey FROM range(40)) TO '{tmp_path}/lineitem.parquet' (FORMAT parquet)")
+    mentions = collections.Counter(i * i % len(names) for i in range(40))
+
+    def alike(a, b):
+        x, y = (set(re.findall("[a-z0-9]+", n.lower())) for n in (a, b))
+        short, long = sorted((a, b), key=len)
+        return (x | y and len(x & y) / len(x | y) >= 0.85) or (short and short in long and len(short) > 0.25 * len(long))
+
+    group = {i: i for i in range(len(names))}
+    for i, a in enumerate(names):
+        for j, b in enumerate(names):
+            if a is not None and b is not None and (a == b or alike(a, b)):
+                old, new = group[i], group[j]
+                group = {k: new if g == old else g for k, g in group.items()}
+    held = collections.defaultdict(list)
+    for i, g in group.items():
+        held[g].append(i)
+    want = {(min(ids, key=lambda i: (-mentions[i], i)), len(ids), sum(mentions[i] for i in ids), len(ids) - 1) for ids in held.values()}
+    got = {tuple(r) for r in registry.queries()["similar_merge_plan"](spark, str(tmp_path)).collect()}
+    assert got == want and max(n for _, n, *_ in want) == 3

@@ -16,11 +16,13 @@ rest of the prefix is sent along. It leaves the documents whose prefixes meet
 another's, a small part. Whole sets of these alone are ordered by counts in the
 second pass, which makes groups and pairs.
 
-Only components are asked for, so links between documents that are connected
-already are left out. In ``STARS`` rounds, each shingle's groups are compared
+For components, links between documents that are connected already are left
+out. In ``STARS`` rounds, each shingle's groups are compared
 with one central group (that with the fewest shingles of its own): near copies
 of one text, however many, cost a comparison each. Then all remaining pairs
-across components are compared, so no link between components is lost.
+across components are compared, so no link between components is lost. Every
+link lies inside a component, so links are counted last, by comparing all
+members of each component, block by block.
 """
 
 from __future__ import annotations
@@ -35,6 +37,8 @@ from .components import components
 WORDS, PERCENT = 4, 85
 ZONE = 0.2
 STARS = 2
+#: Members of a component that are compared at once when links are counted.
+BLOCK = 128
 MEMO_ENTRIES, MEMO_BYTES = 600_000, 48
 
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)
@@ -149,6 +153,41 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "tokens_a", "tokens_b").mapInArrow(run, "a long, b long")
 
 
+def _counted(label: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """id and n_links: with how many others of its component each id of ``label`` (id, component) links.
+
+    Members are dealt to blocks by hash, and each pair of blocks is a group of
+    its own, so a large component isn't one task's work.
+    """
+
+    def run(table):
+        import pyarrow as pa
+
+        lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
+        ids, block = table.column("id").to_numpy(), table.column("block").to_numpy()
+        tokens = [t.values.to_numpy() for t in table.column("tokens")]
+        sizes = np.array([len(t) for t in tokens])
+        vocabulary, codes = np.unique(np.concatenate(tokens), return_inverse=True)
+        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        n_links = np.zeros(len(ids), np.int64)
+        held = np.zeros(len(vocabulary), np.int64)
+        for i in range(len(ids)):
+            mine = codes[starts[i] : starts[i] + sizes[i]]
+            held[mine] = 1
+            both = np.add.reduceat(held[codes], starts)
+            held[mine] = 0
+            fits = 100 * both >= percent * (sizes + sizes[i] - both)
+            fits &= (ids != ids[i]) if lo == hi else (block != block[i])
+            n_links[i] = fits.sum()
+        return pa.table({"id": pa.array(ids, pa.int64()), "n_links": pa.array(n_links, pa.int64())})
+
+    sizes = label.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    dealt = label.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    cells = dealt.join(sets, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = cells.select("component", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "id", "block", "tokens")
+    return cells.groupBy("component", "lo", "hi").applyInArrow(run, "id long, n_links long").groupBy("id").agg(F.sum("n_links").alias("n_links"))
+
+
 def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
     """id, n, own and prefix of ``sets`` (id, n, zone, tokens): those shingles of each prefix that other sets have too.
 
@@ -187,8 +226,11 @@ def _fits(percent: int):
     return sizes & (F.lit(100 + percent) * most >= F.lit(percent) * (F.col("n") + F.col("other_n")))
 
 
-def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """doc_id, n_shingles, component_id, and n_links of its class that were verified, of every row of ``docs``.
+def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, text_col: str = "text", id_col: str = "doc_id", count_links: bool = True) -> DataFrame:
+    """doc_id, n_shingles, component_id, and n_links, of every row of ``docs``.
+
+    n_links is the number of other sets of shingles that a document's set links
+    with; without ``count_links`` the column isn't there.
 
     Two documents link when 100 * intersection >= percent * union of their
     shingle sets. component_id is the smallest doc_id reachable by links, itself
@@ -263,12 +305,18 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
         .join(compared, ["a", "b"], "left_anti")
     )
     links = links.union(materialize(_verified(materialize(rest, "jaccard-rest"), sets, percent), "jaccard-links"))
-    ends = links.select(F.col("a").alias("id")).union(links.select("b")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
-    found = classes.join(components(links), "id", "left").join(ends, "id", "left").select("signature", F.coalesce("component", "id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    found = materialize(found, "jaccard-found")
+    label = materialize(components(links), "jaccard-labels")
+    found = classes.join(label, "id", "left")
+    if count_links:
+        release(docs.sparkSession)
+        found = found.join(materialize(_counted(label, sets, percent), "jaccard-counts"), "id", "left")
+    else:
+        found = found.withColumn("n_links", F.lit(None).cast("long"))
+    found = materialize(found.select("signature", F.coalesce("component", "id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "jaccard-found")
     linked = usable.select("doc_id", "n", "signature").join(found, "signature").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id", "n_links")
     alone = base.where(F.col("doc_id").isNull() | (F.col("n") == 0)).select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
-    return linked.unionByName(alone)
+    every = linked.unionByName(alone)
+    return every if count_links else every.drop("n_links")
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,11 +1,12 @@
 """Cases of the review of round 1: what was left out before."""
 
+import random
+
 import pytest
-from pyspark.sql import functions as F
 
 pytest.importorskip("public_tokenizers")
 import corpus_pipeline  # noqa: E402
-from plenary.llm import pii  # noqa: E402
+from plenary.llm import ngram_jaccard, pii  # noqa: E402
 
 
 def test_pipeline_near_copies_between_the_thresholds(spark):
@@ -26,3 +27,21 @@ def test_pii_adds_announced_proposals_of_every_kind(spark):
     found = pii.find(df, keep=("text",)).where("doc_id >= 60").orderBy("doc_id")
     got = [sorted(s.match for kind in pii.KINDS for s in r[f"added_{kind}"]) for r in found.collect()]
     assert got == [["ann.lee (at) example (dot) com"], ["10.1.2.3:8080"], ["(058) 555-3468"], ["4111.1111.1111.1111"]] + [[]] * len(none)
+
+
+@pytest.mark.parametrize("block", [4, 128])
+def test_jaccard_counts_links_inside_components(spark, monkeypatch, block):
+    """Each text of a family of near copies links with all those that a comparison of all pairs finds."""
+    monkeypatch.setattr(ngram_jaccard, "BLOCK", block)
+    rng = random.Random(9)
+    base, texts = [f"w{i}" for i in range(120)], {}
+    for i in range(24):
+        w = list(base)
+        for _ in range(rng.randrange(4)):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(9)}"
+        texts[i] = tuple(w)
+    sets = {i: {w[k : k + 4] for k in range(len(w) - 3)} for i, w in texts.items()}
+    other = {i: {frozenset(t) for j, t in sets.items() if t != sets[i] and 100 * len(t & sets[i]) >= 85 * len(t | sets[i])} for i in sets}
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string")
+    got = {r.doc_id: r.n_links for r in ngram_jaccard.jaccard_components(df).collect()}
+    assert got == {i: len(o) for i, o in other.items()} and max(got.values()) > 4

@@ -12,6 +12,9 @@ counters, which hold how often each bit is set in hashes of the paragraph's
 phrases. The counters give likeness: as signed sums they estimate the cosine of
 two multisets of phrases. Phrases are cut at punctuation and after words that
 end in certain letters, so an edit changes the phrases around it only.
+
+Likeness holds for fewer than 2**20 phrases in a text or a sum; from there on a
+counter may carry into its neighbour. Equality isn't bounded.
 """
 
 from __future__ import annotations

@@ -215,7 +215,10 @@ def test_bpe_equals_the_library(spark, docs):
     path = P.path("byte_bpe_50k.json")
     tokenizer = Tokenizer.from_file(path)
     lexicon = bpe.publish_lexicon(spark, bpe.frequent_words(docs, path, words=20), path)
-    got = bpe.bpe_decode(bpe.bpe_encode(docs, path, lexicon), path).collect()
+    got = bpe.bpe_codec(docs, path, lexicon).collect()
+    apart = bpe.bpe_decode(bpe.bpe_encode(docs, path, lexicon), path).collect()
+    assert collections.Counter((r.doc_id, tuple(r.ids), r.decoded) for r in apart) == collections.Counter((r.doc_id, tuple(r.ids), r.decoded) for r in got)
+    assert bpe.bpe_codec(frames.empty(spark), path).count() == 0
     want = collections.Counter()
     for r in frames.rows():
         ids = tokenizer.encode(r[1] or "", add_special_tokens=False).ids
@@ -236,18 +239,27 @@ def test_lexicon_is_minimal_and_exact():
     assert with_shared < alone
 
 
-def test_heap_and_scan_merge_alike():
+def test_heap_and_matrix_merge_alike():
     v = bpe.Vocabulary(P.path("byte_bpe_50k.json"))
     rng = random.Random(2)
-    limit = bpe.SCAN_BYTES
-    for _ in range(60):
-        w = "".join(rng.choice("etaoin shrdlu") for _ in range(rng.randrange(2, 46))).encode()
-        scanned = v.merge(w)
-        try:
-            bpe.SCAN_BYTES = 0
-            assert v.merge(w) == scanned
-        finally:
-            bpe.SCAN_BYTES = limit
+    words = ["".join(rng.choice("etaoin shrdlu") for _ in range(rng.randrange(1, 60))).encode() for _ in range(400)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in v.merge_many(words)] == [v.merge(w) for w in words]
+    assert v.merge_many([b"", b"a"])[0] == b""
+
+
+def test_bpe_on_mixed_strings():
+    """Spaces, marks, letters that change in lower case, special tokens: the library's ids, with any lexicon and a small memo."""
+    from tokenizers import Tokenizer
+
+    path, rng = P.path("byte_bpe_50k.json"), random.Random(8)
+    tokenizer, v = Tokenizer.from_file(path), bpe.vocabulary(path)
+    parts = ["a", "b", " ", "  ", "\n", "\t", " \n", "é", "İ", "1", "'s", "<|endoftext|>", ".", "!?", "😀", "\x85", "\xa0", "\x1c", "the", " ing", "x" * 60, "\u3000"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(14))) for _ in range(1500)]
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    for lexicon in (None, bpe.Lexicon(bpe.compile_lexicon({w: v.merge(w) for w in (b" the", b"the", b" a", b"ing")}))):
+        known = bpe.Encoder(v, lexicon)
+        assert [np.frombuffer(x, "<u4").tolist() for at in range(0, 1500, 100) for x in known.texts(texts[at : at + 100])] == want
+        assert not lexicon or known.answered
 
 
 def test_language_id(spark, docs):

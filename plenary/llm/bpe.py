@@ -33,7 +33,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, shared_dir
+from .common import begin, documents, remembers, shared_dir, slices
 
 LEXICON_WORDS, WORD_BYTES = 131_072, 40
 #: Words that a task reports of its texts, and how many it counts before it drops the rarest.
@@ -389,6 +389,7 @@ class Encoder:
 
 _VOCABULARIES: dict[str, Vocabulary] = {}
 _ENCODERS: dict[tuple[str, str | None], Encoder] = {}
+remembers("pieces", _ENCODERS.clear)
 
 
 def vocabulary(path: str) -> Vocabulary:
@@ -412,8 +413,9 @@ def frequent_words(docs: DataFrame, tokenizer: str, text_col: str = "text", word
     def count(batches):
         import pyarrow as pa
 
+        begin()
         split, seen = vocabulary(tokenizer).words, Counter()
-        for batch in batches:
+        for batch in slices(batches, 0, ROWS_AT_ONCE):
             for text in batch.column(0).to_pylist():
                 seen.update((text or "").split(" "))
             if len(seen) > COUNTED:
@@ -466,14 +468,13 @@ def bpe_codec(docs: DataFrame, tokenizer: str, lexicon: str | None = None, text_
     def code(batches):
         import pyarrow as pa
 
+        begin("pieces")
         known, table = encoder(tokenizer, lexicon), vocabulary(tokenizer).bytes
-        for whole in batches:
-            for at in range(0, whole.num_rows, ROWS_AT_ONCE):
-                batch = whole.slice(at, ROWS_AT_ONCE)
-                ids = [np.frombuffer(x, dtype="<i4") for x in known.texts(batch.column(1).to_pylist())]
-                texts = pa.array([_decoded(table, x) for x in ids], pa.string())
-                ends = np.cumsum([0] + [len(x) for x in ids]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids))), texts], names=["doc_id", "ids", "decoded"])
+        for batch in slices(batches, rows=ROWS_AT_ONCE):
+            ids = [np.frombuffer(x, dtype="<i4") for x in known.texts(batch.column(1).to_pylist())]
+            texts = pa.array([_decoded(table, x) for x in ids], pa.string())
+            ends = np.cumsum([0] + [len(x) for x in ids]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids))), texts], names=["doc_id", "ids", "decoded"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(code, "doc_id long, ids array<int>, decoded string")
 
@@ -484,14 +485,13 @@ def bpe_encode(docs: DataFrame, tokenizer: str, lexicon: str | None = None, text
     def encode(batches):
         import pyarrow as pa
 
+        begin("pieces")
         known = encoder(tokenizer, lexicon)
-        for whole in batches:
-            for at in range(0, whole.num_rows, ROWS_AT_ONCE):
-                batch = whole.slice(at, ROWS_AT_ONCE)
-                ids = list(known.texts(batch.column(1).to_pylist()))
-                ends = np.cumsum([0] + [len(x) // 4 for x in ids]).astype(np.int32)
-                flat = pa.array(np.frombuffer(b"".join(ids), dtype="<i4"))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), flat)], names=["doc_id", "ids"])
+        for batch in slices(batches, rows=ROWS_AT_ONCE):
+            ids = list(known.texts(batch.column(1).to_pylist()))
+            ends = np.cumsum([0] + [len(x) // 4 for x in ids]).astype(np.int32)
+            flat = pa.array(np.frombuffer(b"".join(ids), dtype="<i4"))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), flat)], names=["doc_id", "ids"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(encode, "doc_id long, ids array<int>")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,6 +42,38 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables written to the shared folder, each dropped when what was made of it is written.
+
+    ``with Scratch(spark) as tables``: whatever still stands when an error ends
+    the block is dropped; else the tables that a lazy result reads stay.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
+        self.paths.setdefault(name, []).append(path)
+        df.write.parquet(path)
+        release(self.spark)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        """Delete the tables of these names; those made of them must have been written."""
+        jvm = self.spark.sparkContext._jvm
+        for path in (p for name in names for p in self.paths.pop(name, [])):
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, kind, *_) -> None:
+        if kind is not None:
+            self.drop(*list(self.paths))
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete shuffle files that no plan needs any more.
 
@@ -51,6 +84,34 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: How to forget what a module remembers between tasks of a reused worker, by the memo's name.
+_FORGET: dict[str, Callable[[], None]] = {}
+
+
+def remembers(name: str, forget: Callable[[], None]) -> None:
+    _FORGET[name] = forget
+
+
+def begin(name: str | None = None) -> None:
+    """A task begins that uses the memo ``name``, or none: a worker holds one memo at a time."""
+    for other, forget in _FORGET.items():
+        if other != name:
+            forget()
+
+
+def slices(batches, column: int = 1, rows: int = 500, size: int = 4 << 20):
+    """Parts of record batches of at most ``rows`` rows and about ``size`` bytes of a column of strings, but at least a row."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    for whole in batches:
+        ends, at, done = np.cumsum(pc.fill_null(pc.binary_length(whole.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64), 0, 0
+        while at < whole.num_rows:
+            end = min(at + rows, max(at + 1, int(np.searchsorted(ends, done + size, side="right"))))
+            yield whole.slice(at, end - at)
+            at, done = end, int(ends[end - 1])
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -64,11 +125,19 @@ def held_out(doc_id: Column) -> Column:
 
 
 def smallest_hashes(df: DataFrame, key: str, rows: int) -> DataFrame:
-    """Rows of ``df`` whose hashed key is among the ``rows`` smallest.
+    """Rows of ``df`` whose hashed key lies so low that about ``rows`` keys do: a repeatable sample.
 
-    A bounded, repeatable sample: only the key column is read to find the
-    threshold, and at most ``rows`` hashes reach the driver's side of the top-k.
+    Keys are counted by a sketch, which combines on the map side, so a key that
+    fills a third of the rows counts once. All rows of a chosen key are chosen;
+    ``one_per_key`` bounds them. With no more than about ``rows`` keys, all are chosen.
     """
-    hashed = F.xxhash64(F.col(key))
-    limit = df.select(hashed.alias("h")).orderBy("h").limit(rows).agg(F.max("h")).first()[0]
-    return df.where(hashed <= F.lit(limit)) if limit is not None else df.limit(0)
+    keys = df.agg(F.approx_count_distinct(F.xxhash64(F.col(key)), 0.02)).first()[0]
+    if keys <= rows:
+        return df
+    return df.where(F.xxhash64(F.col(key)) <= F.lit(int(2**64 * rows / keys) - 2**63))
+
+
+def one_per_key(df: DataFrame, key: str) -> DataFrame:
+    """Of the rows of a key, null included, the one whose values hash lowest."""
+    columns = [f"`{c}`" for c in df.columns]
+    return df.groupBy(F.col(key).alias("_key")).agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("_row")).select("_row.*")

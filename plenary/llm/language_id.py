@@ -14,14 +14,14 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, held_out, smallest_hashes
+from .common import begin, documents, held_out, one_per_key, slices, smallest_hashes
 
-#: Rows that a model is fitted on at most, and the most languages it may learn.
-TRAIN_ROWS, MAX_LANGUAGES = 20_000, 200
+#: Rows that a model is fitted on at most. More languages than MAX_LANGUAGES are refused: the matrix takes 128 KB of each.
+TRAIN_ROWS, MAX_LANGUAGES = 20_000, 1000
 BITS = 15
-#: Characters that are scored at once; a longer text is scored by itself.
+#: Characters that are scored at once; a longer text is scored in parts.
 CHARS_AT_ONCE = 500_000
-#: The evidence of a text counts as that of so many characters at most, so that scores don't all become 1.
+#: The score is a posterior at the evidence of so many characters, so that scores don't all become 1. The choice doesn't depend on it.
 EVIDENCE = 64
 
 _LETTER: list[np.ndarray] = []
@@ -41,15 +41,34 @@ def letters() -> np.ndarray:
     return _LETTER[0]
 
 
-def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes (3 x positions) of the n-grams that begin at each position, the texts' ends, and their letters.
+def parts(texts: list[str | None]):
+    """Lists of (text's number, part, own): lower-cased texts, each with a space at its end, about ``CHARS_AT_ONCE`` at once.
 
-    Texts are lower-cased, all but letters becomes one kind of space, and each
-    text ends with a space; grams that would run into the next text hash to 0.
+    A long text is cut; a part then has the next two characters too, so that
+    the grams that begin at its own ``own`` characters are whole.
     """
-    lowered = [t.lower() + " " for t in texts]
-    code = np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), dtype="<u4")
-    ends = np.cumsum([len(t) for t in lowered])
+    some, size = [], 0
+    for number, text in enumerate(texts):
+        lowered = (text or "").lower() + " "
+        for at in range(0, len(lowered), CHARS_AT_ONCE):
+            own = min(CHARS_AT_ONCE, len(lowered) - at)
+            if some and size + own > CHARS_AT_ONCE:
+                yield some
+                some, size = [], 0
+            some.append((number, lowered[at : at + own + 2], own))
+            size += own
+    if some:
+        yield some
+
+
+def grams(strings: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes (3 x positions) of the n-grams that begin at each position, where each string begins, and which positions are letters.
+
+    All but letters becomes one kind of space; grams that would run into the
+    next string hash to 0, and no other does.
+    """
+    code = np.frombuffer("".join(strings).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    ends = np.cumsum([len(t) for t in strings])
     letter = letters()[code]
     code = np.where(letter, code, 32).astype(np.uint32)
     hashes = np.zeros((3, len(code)), dtype=np.int32)
@@ -59,22 +78,10 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         shifted[: len(code) - n] = code[n:]
         mixed = (mixed ^ shifted) * np.uint32(0x9E3779B1)
         mixed ^= mixed >> np.uint32(15)
-        hashes[n] = (mixed >> np.uint32(32 - BITS)).astype(np.int32) | 1 if n else (mixed >> np.uint32(32 - BITS)).astype(np.int32)
+        hashes[n] = np.maximum(1, (mixed >> np.uint32(32 - BITS)).astype(np.int32))
         for back in range(1, n + 1):
-            hashes[n][ends - back] = 0
-    return hashes, ends, np.diff(np.concatenate([[0], np.cumsum(letter)[ends - 1]])) if len(ends) else np.zeros(0, np.int64)
-
-
-def groups(texts: list[str]):
-    """Runs of texts of about ``CHARS_AT_ONCE`` characters, as (first, end)."""
-    at = 0
-    while at < len(texts):
-        end, size = at + 1, len(texts[at])
-        while end < len(texts) and size + len(texts[end]) <= CHARS_AT_ONCE:
-            size += len(texts[end])
-            end += 1
-        yield at, end
-        at = end
+            hashes[n][np.maximum(ends - back, 0)] = 0
+    return hashes, np.concatenate([[0], ends[:-1]]).astype(np.int64), letter
 
 
 @dataclass
@@ -87,32 +94,34 @@ class Model:
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", train_rows: int = TRAIN_ROWS) -> Model:
     """Fit on at most about ``train_rows`` of the rows with a language (those of smallest hashed id).
 
-    Counts are summed on the cluster; the driver gets one vector a language.
+    Counts are summed on the cluster; the driver gets one vector a language. Of
+    rows that repeat an id, null included, one teaches. Null and empty texts
+    teach how frequent their language is.
     """
-    rows = smallest_hashes(docs.where(F.col(lang_col).isNotNull()), id_col, train_rows)
+    rows = smallest_hashes(docs.where(F.col(lang_col).isNotNull()).select(id_col, F.col(text_col).cast("string").alias("_text"), F.col(lang_col).alias("_lang")), id_col, train_rows)
+    rows = one_per_key(rows, id_col)
 
     def count(batches):
         import pyarrow as pa
 
+        begin()
         totals: dict[str, np.ndarray] = {}
-        for batch in batches:
-            texts, langs = ([x for x in c] for c in (batch.column(0).to_pylist(), batch.column(1).to_pylist()))
-            texts = [t or "" for t in texts]
-            for a, b in groups(texts):
-                hashes, ends, _ = grams(texts[a:b])
-                start = 0
-                for lang, end in zip(langs[a:b], ends.tolist(), strict=True):
-                    total = totals.setdefault(lang, np.zeros((2, 1 << BITS), np.int64))
-                    total[0] += np.bincount(hashes[:, start:end].ravel(), minlength=1 << BITS)
-                    total[1, 0] += 1
-                    start = end
+        for batch in slices(batches, 0):
+            langs = batch.column(1).to_pylist()
+            for lang in langs:
+                totals.setdefault(lang, np.zeros((2, 1 << BITS), np.int64))[1, 0] += 1
+            for some in parts(batch.column(0).to_pylist()):
+                hashes, starts, _ = grams([part for _, part, _ in some])
+                for (number, _, own), start in zip(some, starts.tolist(), strict=True):
+                    totals[langs[number]][0] += np.bincount(hashes[:, start : start + own].ravel(), minlength=1 << BITS)
         kept = [(lang, int(b), int(t[0, b]), int(t[1, 0])) for lang, t in totals.items() for b in np.flatnonzero(t[0])]
         columns = list(zip(*kept, strict=True)) or [[], [], [], []]
         yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), *(pa.array(c, pa.int64()) for c in columns[1:])], names=["lang", "bucket", "n", "rows"])
 
-    counted = rows.select(text_col, lang_col).mapInArrow(count, "lang string, bucket long, n long, rows long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"), F.sum("rows").alias("rows"))
-    vectors = counted.groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("counts"), F.max("rows").alias("rows")).orderBy(F.desc("rows"), "lang").limit(MAX_LANGUAGES).collect()
-    vectors.sort(key=lambda r: r["lang"])
+    counted = rows.select("_text", "_lang").mapInArrow(count, "lang string, bucket long, n long, rows long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"), F.sum("rows").alias("rows"))
+    vectors = counted.groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("counts"), F.max("rows").alias("rows")).orderBy("lang").limit(MAX_LANGUAGES + 1).collect()
+    if len(vectors) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     n = np.full((len(vectors), 1 << BITS), 0.5)
     for i, r in enumerate(vectors):
         for bucket, count_ in r["counts"]:
@@ -125,40 +134,44 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
 
 
 def score(model: Model, texts: list[str | None]) -> tuple[list[str], list[float]]:
-    """Language and posterior of each text; ``und`` and 0 where there are no letters or nothing was learned."""
-    names, scores = [], []
-    texts = [t or "" for t in texts]
-    for a, b in groups(texts):
-        hashes, ends, n_letters = grams(texts[a:b])
-        starts = np.concatenate([[0], ends[:-1]])
-        likelihood = np.empty((len(model.languages), b - a))
+    """Language and posterior of each text; ``und`` and 0 where there are no letters or nothing was learned.
+
+    The language is the one most likely by prior and all grams, of equals the
+    first by name.
+    """
+    if not model.languages:
+        return ["und"] * len(texts), [0.0] * len(texts)
+    joint, n_letters = np.repeat(model.log_prior[:, None], len(texts), axis=1), np.zeros(len(texts), np.int64)
+    for some in parts(texts):
+        hashes, starts, letter = grams([part for _, part, _ in some])
+        numbers, ends = np.array([n for n, _, _ in some]), starts + np.array([own for _, _, own in some])
+        before = np.concatenate([[0], np.cumsum(letter)])
+        np.add.at(n_letters, numbers, before[ends] - before[starts])
         for i, row in enumerate(model.log_probability):
             running = np.concatenate([[0.0], np.cumsum(row[hashes].sum(axis=0, dtype=np.float64))])
-            likelihood[i] = running[ends] - running[starts]
-        if not model.languages:
-            names += ["und"] * (b - a)
-            scores += [0.0] * (b - a)
-            continue
-        likelihood *= np.minimum(1, EVIDENCE / np.maximum(n_letters, 1)) / 3
-        likelihood += model.log_prior[:, None]
-        likelihood -= likelihood.max(axis=0)
-        posterior = np.exp(likelihood)
-        posterior /= posterior.sum(axis=0)
-        best = posterior.argmax(axis=0)
-        for j, (i, n) in enumerate(zip(best.tolist(), n_letters.tolist(), strict=True)):
-            names.append(model.languages[i] if n else "und")
-            scores.append(float(posterior[i, j]) if n else 0.0)
-    return names, scores
+            np.add.at(joint[i], numbers, running[ends] - running[starts])
+    best = joint.argmax(axis=0)
+    likely = (joint - joint.max(axis=0)) * (np.minimum(1, EVIDENCE / np.maximum(n_letters, 1)) / 3)
+    posterior = np.exp(likely)
+    posterior /= posterior.sum(axis=0)
+    names = [model.languages[i] if n else "und" for i, n in zip(best.tolist(), n_letters.tolist(), strict=True)]
+    return names, [float(posterior[i, j]) if n else 0.0 for j, (i, n) in enumerate(zip(best.tolist(), n_letters.tolist(), strict=True))]
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """doc_id, lang_pred and score of every row; other columns of ``docs`` are ignored."""
+    """doc_id, lang_pred and score of every row; other columns of ``docs`` are ignored.
+
+    Null, empty and letterless texts are ``und`` with score 0. Very long texts
+    are read whole, part by part. Rows that repeat an id or a text give a row
+    each; an empty table gives an empty one.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        begin()
+        for batch in slices(batches):
             names, scores = score(shared.value, batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 

@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, release
+from .common import begin, documents, materialize, release, remembers, slices
 from .components import components
 
 WORDS, PERCENT = 4, 85
@@ -39,7 +39,8 @@ ZONE = 0.2
 STARS = 2
 #: Members of a component that are compared at once when links are counted.
 BLOCK = 128
-MEMO_ENTRIES, MEMO_BYTES = 600_000, 48
+#: Words that a worker remembers at most, and the most bytes of one: some 60 MB.
+MEMO_ENTRIES, MEMO_BYTES = 300_000, 48
 
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)
 #: Flips the order of unsigned numbers to that of signed ones.
@@ -61,6 +62,7 @@ class _Words(dict):
 
 
 _WORDS = _Words()
+remembers("words", _WORDS.clear)
 
 
 def shingles(text: bytes | None, words: int = WORDS) -> np.ndarray:
@@ -97,7 +99,8 @@ def signatures(docs: DataFrame, words: int, percent: int, text_col: str, id_col:
         import pyarrow as pa
         import xxhash
 
-        for batch in batches:
+        begin("words")
+        for batch in slices(batches):
             n, signature, zone, tokens = [], [], [], []
             for text in batch.column(1).to_pylist():
                 found = shingles(text, words)
@@ -122,12 +125,11 @@ def _sets(docs: DataFrame, ids: DataFrame, words: int, text_col: str, id_col: st
     def run(batches):
         import pyarrow as pa
 
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
-                found = [shingles(t, words) for t in batch.column(1).to_pylist()]
-                ends = np.cumsum([0] + [len(x) for x in found]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))], names=["id", "tokens"])
+        begin("words")
+        for batch in slices(batches):
+            found = [shingles(t, words) for t in batch.column(1).to_pylist()]
+            ends = np.cumsum([0] + [len(x) for x in found]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))], names=["id", "tokens"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")).join(ids, "id", "left_semi")
     return texts.mapInArrow(run, "id long, tokens array<long>").dropDuplicates(["id"])

@@ -21,11 +21,12 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, materialize
+from .common import begin, documents, materialize, remembers, slices
 
 CAPACITY = 2048
 #: Chunks, and parts of chunks, that a worker remembers at most, and the most bytes of one.
-MEMO_ENTRIES, MEMO_BYTES = 600_000, 48
+#: Together some 150 MB.
+MEMO_ENTRIES, MEMO_BYTES = 300_000, 48
 #: Buckets over which ranks within a length are counted.
 BUCKETS = 1024
 
@@ -110,6 +111,7 @@ class ChunkIds:
 
 #: One of each tokenizer file in a worker, whatever tasks it runs.
 _CHUNK_IDS: dict[str, ChunkIds] = {}
+remembers("chunks", _CHUNK_IDS.clear)
 
 
 def chunk_ids(path: str) -> ChunkIds:
@@ -135,8 +137,9 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, separator:
     def cut(batches):
         import pyarrow as pa
 
+        begin("chunks")
         memo = chunk_ids(tokenizer)
-        for batch in batches:
+        for batch in slices(batches, rows=2000, size=8 << 20):
             columns = [[] for _ in range(4)]
             doc_ids = batch.column(0).to_pylist()
             for doc_id, ids in zip(doc_ids, memo.texts(batch.column(1).to_pylist()), strict=True):

@@ -16,14 +16,15 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, held_out, materialize, smallest_hashes
+from .common import begin, documents, held_out, materialize, one_per_key, remembers, slices, smallest_hashes
 
 #: Labelled rows that a model is fitted on at most (those of smallest hashed id).
 TRAIN_ROWS = 12_000
 BITS = 11
 MEASURES = 14
 WIDTH = (1 << BITS) + MEASURES
-MEMO_ENTRIES, MEMO_CHARS = 500_000, 40
+#: Words that a worker remembers at most, and the most characters of one: some 50 MB.
+MEMO_ENTRIES, MEMO_CHARS = 300_000, 40
 RIDGE, STEPS = 2.0, 150
 #: A document stays if the upper half of the grades is at least this likely.
 KEEP = 0.5
@@ -40,6 +41,7 @@ class _Buckets(dict):
 
 
 _BUCKETS = _Buckets()
+remembers("buckets", _BUCKETS.clear)
 
 
 def measures(text: str, words: list[str]) -> list[float]:
@@ -139,25 +141,24 @@ def fit_arrays(x: np.ndarray, y: np.ndarray) -> Model:
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, text_col: str = "text", id_col: str = "doc_id", label_col: str = "quality") -> Model:
     """Fit on at most about ``train_rows`` graded rows; null grades are ignored, of several for an id the least counts.
 
-    The ids joined are bounded by ``train_rows`` and may be broadcast; the
+    Of rows that repeat an id, one teaches. The ids joined are bounded by ``train_rows`` and may be broadcast; the
     driver gets one packed row of features for each.
     """
     labels = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
     chosen = smallest_hashes(labels, id_col, train_rows).groupBy(id_col).agg(F.min(label_col).cast("double").alias("grade_label"))
-    rows = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col).select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("text"), "grade_label")
+    rows = one_per_key(docs.select(id_col, F.col(text_col).cast("string").alias("_text")).join(F.broadcast(chosen), id_col), id_col).select(F.col(id_col).cast("long").alias("i"), F.col("_text").alias("text"), "grade_label")
 
     def pack(batches):
         import pyarrow as pa
 
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
-                x = features(batch.column(1).to_pylist()).astype(np.float16)
-                sparse = [np.flatnonzero(r).astype(np.uint16) for r in x]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array([s.tobytes() for s in sparse], pa.binary()), pa.array([r[s].tobytes() for r, s in zip(x, sparse, strict=True)], pa.binary()), batch.column(2)],
-                    names=["i", "at", "x", "y"],
-                )
+        begin("buckets")
+        for batch in slices(batches):
+            x = features(batch.column(1).to_pylist()).astype(np.float16)
+            sparse = [np.flatnonzero(r).astype(np.uint16) for r in x]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([s.tobytes() for s in sparse], pa.binary()), pa.array([r[s].tobytes() for r, s in zip(x, sparse, strict=True)], pa.binary()), batch.column(2)],
+                names=["i", "at", "x", "y"],
+            )
 
     got = materialize(rows.mapInArrow(pack, "i long, at binary, x binary, y double"), "quality-train").orderBy("i", "at", "x").toLocalIterator()
     index, values, y = [], [], []
@@ -175,7 +176,9 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, text_c
 def grade(docs: DataFrame, model: Model, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """doc_id, expected_grade and tail_probability (of the upper half of the grades) of every row.
 
-    Null and empty texts are graded by their measures alone. Without any
+    Null and empty texts are graded by their measures alone, very long ones by
+    all their words. Rows that repeat an id or a text give a row each; an empty
+    table gives an empty one; only the two named columns are read. Without any
     labelled row all grades are 0 and all tail probabilities 1.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -183,11 +186,10 @@ def grade(docs: DataFrame, model: Model, text_col: str = "text", id_col: str = "
     def run(batches):
         import pyarrow as pa
 
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
-                expected, tail = shared.value.predict(features(batch.column(1).to_pylist()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(expected, pa.float64()), pa.array(tail, pa.float64())], names=["doc_id", "expected_grade", "tail_probability"])
+        begin("buckets")
+        for batch in slices(batches):
+            expected, tail = shared.value.predict(features(batch.column(1).to_pylist()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(expected, pa.float64()), pa.array(tail, pa.float64())], names=["doc_id", "expected_grade", "tail_probability"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, expected_grade double, tail_probability double")
 

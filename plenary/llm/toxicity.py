@@ -12,24 +12,23 @@ clause and by all of them, through a logistic function fitted on the same rows.
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import defaultdict
 from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, held_out, materialize, smallest_hashes
+from .common import begin, documents, held_out, materialize, one_per_key, slices, smallest_hashes
 
 #: Labelled rows that a model is fitted on at most (those of smallest hashed id).
 TRAIN_ROWS = 20_000
 #: An insult arc needs so many different words after it in toxic texts, and such odds (natural log).
 CONTEXTS, LOG_ODDS = 6, 3.0
-#: Candidates weighed against all labelled rows at most, and arcs kept at most.
-CANDIDATES, ARCS = 20_000, 4_000
 #: Lengths of word beginnings that may be arcs, besides whole words.
 STEMS = (4, 5, 6)
-MEMO_ENTRIES, MEMO_CHARS = 500_000, 40
+#: Tokens that a task remembers at most, and the most characters of one: some 60 MB.
+MEMO_ENTRIES, MEMO_CHARS = 200_000, 40
 
 OTHER, END, TARGET, NEGATION, REPORT, QUOTE, THREAT, INSULT = range(8)
 
@@ -158,7 +157,7 @@ class Scorer:
 
 def _arcs(text: str | None):
     """(arc, word after it) of a text: whole words, and beginnings marked with a star."""
-    words = [w for t in (text or "").split() if (w := t.strip(EDGES).lower()) and w[0].isalpha() and len(w) <= MEMO_CHARS]
+    words = [w for t in (text or "").split() if (w := t.strip(EDGES).lower()) and w[0].isalpha()]
     for word, after in zip(words, [*words[1:], ""], strict=True):
         yield word, after
         for n in STEMS:
@@ -179,68 +178,80 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 30
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic") -> Grammar:
     """Learn insult arcs and the final function from at most about ``train_rows`` labelled rows.
 
-    Null labels are ignored; an id labelled more than once is toxic if any label is.
-    The rows joined are bounded by ``train_rows``, so their ids may be broadcast.
+    Null labels and ids are ignored; an id labelled more than once is toxic if
+    any label is; of rows that repeat an id, one teaches. So rows and ids are
+    bounded by ``train_rows``, and the ids may be broadcast. Without toxic or
+    without clean rows the grammar has no insult arcs. Null, empty and very long
+    texts are read like any, whole.
     """
     labels = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
     chosen = smallest_hashes(labels, id_col, train_rows).groupBy(id_col).agg((F.max(label_col) > 0).alias("toxic_label"))
-    rows = materialize(docs.select(id_col, text_col).join(F.broadcast(chosen), id_col).select(F.col(text_col).alias("text"), F.col("toxic_label").cast("int").alias("y")), "toxicity-train")
+    rows = one_per_key(docs.select(id_col, F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), id_col), id_col)
+    rows = materialize(rows.select("text", F.col("toxic_label").cast("int").alias("y")), "toxicity-train")
 
     def contexts(batches):
         import pyarrow as pa
 
-        pairs = {pair for batch in batches for text in batch.column(0).to_pylist() for pair in _arcs(text)}
-        arcs = sorted(pairs)
-        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in arcs], pa.string()), pa.array([c for _, c in arcs], pa.string())], names=["arc", "after"])
+        begin()
+        for batch in slices(batches, 0):
+            arcs = sorted({pair for text in batch.column(0).to_pylist() for pair in _arcs(text)})
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in arcs], pa.string()), pa.array([c for _, c in arcs], pa.string())], names=["arc", "after"])
 
     counted = rows.where("y = 1").select("text").mapInArrow(contexts, "arc string, after string").distinct().groupBy("arc").agg(F.count(F.lit(1)).alias("n"))
-    candidates = [r["arc"] for r in counted.where(F.col("n") >= CONTEXTS).orderBy(F.desc("n"), "arc").limit(CANDIDATES).collect()]
+    candidates = [r["arc"] for r in counted.where(F.col("n") >= CONTEXTS).select("arc").collect()]
     shared = rows.sparkSession.sparkContext.broadcast(frozenset(candidates))
 
     def weigh(batches):
         import pyarrow as pa
 
-        counts: dict[str, list[int]] = defaultdict(lambda: [0, 0])
-        for batch in batches:
+        begin()
+        counts: dict[str, list[int]] = defaultdict(lambda: [0, 0])  # candidates only
+        for batch in slices(batches, 0):
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                counts[""][y] += 1
                 for arc in {a for a, _ in _arcs(text)} & shared.value:
                     counts[arc][y] += 1
         kept = list(counts.items())
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in kept], pa.string()), *(pa.array([v[i] for _, v in kept], pa.int64()) for i in (0, 1))], names=["arc", "clean", "toxic"])
 
-    sums = {r["arc"]: (r["clean"], r["toxic"]) for r in rows.mapInArrow(weigh, "arc string, clean long, toxic long").groupBy("arc").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).collect()}
-    clean, toxic = sums.pop("", (0, 0))
+    clean, toxic = rows.agg(F.count(F.when(F.col("y") == 0, 1)), F.count(F.when(F.col("y") == 1, 1))).first()
     if not clean or not toxic:
         return Grammar()
-    odds = {arc: float(np.log((t + 0.5) / (toxic + 1)) - np.log((c + 0.5) / (clean + 1))) for arc, (c, t) in sums.items()}
-    best = dict(sorted(((a, w) for a, w in odds.items() if w >= LOG_ODDS), key=lambda x: (-x[1], x[0]))[:ARCS])
+    sums = rows.mapInArrow(weigh, "arc string, clean long, toxic long").groupBy("arc").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t"))
+    odds = F.log((F.col("t") + 0.5) / (toxic + 1)) - F.log((F.col("c") + 0.5) / (clean + 1))
+    best = {r["arc"]: r["odds"] for r in sums.select("arc", odds.alias("odds")).where(F.col("odds") >= LOG_ODDS).orderBy("arc").collect()}
     grammar = Grammar({a: w for a, w in best.items() if a[-1] != "*"}, {a[:-1]: w for a, w in best.items() if a[-1] == "*"})
     shared_grammar = rows.sparkSession.sparkContext.broadcast(grammar)
 
     def features(batches):
         import pyarrow as pa
 
+        begin()
         scorer = Scorer(shared_grammar.value)
-        for batch in batches:
+        for batch in slices(batches, 0):
             found = [scorer.features(t) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.float64()), pa.array([y for _, y in found], pa.float64()), batch.column(1)], names=["worst", "total", "y"])
 
-    points = Counter(tuple(r) for r in rows.mapInArrow(features, "worst double, total double, y int").collect())
-    data = np.array([k for k, n in sorted(points.items()) for _ in range(n)])
+    points = rows.mapInArrow(features, "worst double, total double, y int").groupBy("worst", "total", "y").count().orderBy("worst", "total", "y").collect()
+    data = np.array([r[:3] for r in points for _ in range(r["count"])])
     grammar.coefficients = _logistic(data[:, :2], data[:, 2])
     return grammar
 
 
 def toxicity(docs: DataFrame, grammar: Grammar, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """doc_id, score, worst_clause and clauses (how many match) of every row; null and empty texts match nothing."""
+    """doc_id, score, worst_clause and clauses (how many match) of every row.
+
+    Null and empty texts match nothing and have the lowest score. Texts of any
+    length are read whole. Rows that repeat an id or a text give a row each; an
+    empty table gives an empty one. Only the two named columns are read.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(grammar)
 
     def run(batches):
         import pyarrow as pa
 
+        begin()
         scorer = Scorer(shared.value)
-        for batch in batches:
+        for batch in slices(batches):
             found = [scorer.clauses(t) for t in batch.column(1).to_pylist()]
             a, b, c = scorer.grammar.coefficients
             worst = np.array([max(x, default=0.0) for x in found])
@@ -252,15 +263,20 @@ def toxicity(docs: DataFrame, grammar: Grammar, text_col: str = "text", id_col:
 
 
 def without_toxic(docs: DataFrame, grammar: Grammar, threshold: float | None = None, text_col: str = "text") -> DataFrame:
-    """``docs``, all columns, without the rows that score ``threshold`` or more; null and empty texts are scored like any."""
-    shared, limit = docs.sparkSession.sparkContext.broadcast(grammar), THRESHOLD if threshold is None else threshold
+    """``docs``, all columns, without the rows that score ``threshold`` or more.
+
+    Null and empty texts are scored like any. Rows are judged one by one, so
+    repeated ones stay or go together. Columns keep their names and places.
+    """
+    shared, limit, at = docs.sparkSession.sparkContext.broadcast(grammar), THRESHOLD if threshold is None else threshold, docs.columns.index(text_col)
 
     def run(batches):
         import pyarrow as pa
 
+        begin()
         scorer = Scorer(shared.value)
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
+        for batch in slices(batches, at):
+            texts = batch.column(at).to_pylist()
             yield batch.filter(pa.array([scorer.score(t) < limit for t in texts], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

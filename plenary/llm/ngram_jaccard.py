@@ -17,12 +17,16 @@ another's, a small part. Whole sets of these alone are ordered by counts in the
 second pass, which makes groups and pairs.
 
 For components, links between documents that are connected already are left
-out. In ``STARS`` rounds, each shingle's groups are compared
-with one central group (that with the fewest shingles of its own): near copies
-of one text, however many, cost a comparison each. Then all remaining pairs
-across components are compared, so no link between components is lost. Every
-link lies inside a component, so links are counted last, by comparing all
-members of each component, block by block.
+out. In ``STARS`` rounds, the groups of each shingle are paired with one
+central document (of the group with the fewest shingles of its own); pairs that
+sizes and places let through are expanded to the group's members: near copies
+of one text, however many, cost a comparison each. Then all remaining pairs of
+groups across components are filtered, expanded and compared, so no link
+between components is lost. Every link lies inside a component, so links are
+counted last, by comparing all members of each component, block by block.
+
+Classes are numbered, so rows that repeat an id with different texts stay
+apart until the end, where the rows of an id are one document.
 """
 
 from __future__ import annotations
@@ -31,14 +35,14 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import begin, documents, materialize, release, remembers, slices
+from .common import Scratch, begin, documents, remembers, slices
 from .components import components
 
 WORDS, PERCENT = 4, 85
 ZONE = 0.2
 STARS = 2
-#: Members of a component that are compared at once when links are counted.
-BLOCK = 128
+#: Shingles of members of a component that are compared at once when links are counted.
+BLOCK = 200_000
 #: Words that a worker remembers at most, and the most bytes of one: some 60 MB.
 MEMO_ENTRIES, MEMO_BYTES = 300_000, 48
 
@@ -119,20 +123,22 @@ def signatures(docs: DataFrame, words: int, percent: int, text_col: str, id_col:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary")).mapInArrow(run, "doc_id long, n int, signature binary, zone int, tokens array<long>")
 
 
-def _sets(docs: DataFrame, ids: DataFrame, words: int, text_col: str, id_col: str) -> DataFrame:
-    """id and whole set of the documents whose ids are asked for."""
+def _sets(docs: DataFrame, wanted: DataFrame, words: int, text_col: str, id_col: str) -> DataFrame:
+    """id and whole set of the classes ``wanted`` (id, doc_id, signature), from the texts of those doc_ids."""
 
     def run(batches):
         import pyarrow as pa
+        import xxhash
 
         begin("words")
-        for batch in slices(batches):
-            found = [shingles(t, words) for t in batch.column(1).to_pylist()]
+        for batch in slices(batches, 0):
+            found = [shingles(t, words) for t in batch.column(0).to_pylist()]
             ends = np.cumsum([0] + [len(x) for x in found]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))], names=["id", "tokens"])
+            signature = pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([signature, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))], names=["signature", "tokens"])
 
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")).join(ids, "id", "left_semi")
-    return texts.mapInArrow(run, "id long, tokens array<long>").dropDuplicates(["id"])
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
+    return texts.select("text").mapInArrow(run, "signature binary, tokens array<long>").join(wanted.select("signature", "id"), "signature").dropDuplicates(["signature"]).select("id", "tokens")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -183,8 +189,9 @@ def _counted(label: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             n_links[i] = fits.sum()
         return pa.table({"id": pa.array(ids, pa.int64()), "n_links": pa.array(n_links, pa.int64())})
 
-    sizes = label.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    dealt = label.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    label = label.join(sets.select("id", F.size("tokens").alias("n")), "id")
+    sizes = label.groupBy("component").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
+    dealt = label.drop("n").join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     cells = dealt.join(sets, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = cells.select("component", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "id", "block", "tokens")
     return cells.groupBy("component", "lo", "hi").applyInArrow(run, "id long, n_links long").groupBy("id").agg(F.sum("n_links").alias("n_links"))
@@ -228,97 +235,146 @@ def _fits(percent: int):
     return sizes & (F.lit(100 + percent) * most >= F.lit(percent) * (F.col("n") + F.col("other_n")))
 
 
-def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, text_col: str = "text", id_col: str = "doc_id", count_links: bool = True) -> DataFrame:
-    """doc_id, n_shingles, component_id, and n_links, of every row of ``docs``.
+def _posted(groups: DataFrame) -> DataFrame:
+    """A row for each shingle of a group's prefix, of those that more than one group has."""
+    kept = [c for c in groups.columns if c != "prefix"]
+    return _busy(groups.select(F.explode("prefix").alias("s"), *kept).select("s.token", "s.pos", *kept))
 
-    n_links is the number of other sets of shingles that a document's set links
-    with; without ``count_links`` the column isn't there.
 
-    Two documents link when 100 * intersection >= percent * union of their
-    shingle sets. component_id is the smallest doc_id reachable by links, itself
-    included. Null and empty texts have no shingles and link with nothing. Rows
-    with a null id are returned with a null component. Rows that repeat an id
-    share its component; if their texts differ, the set of one stands for all.
+def _starred(postings: DataFrame, placed: DataFrame, star: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of documents: members of the groups of each shingle, and its centre.
+
+    From the second round on, groups are split by the components of ``placed``.
+    What isn't in the component of its list's centre meets another member of
+    that, drawn by hash, and a centre of its own.
+    """
+    parts = placed.groupBy("gid", "component").agg(F.min(F.struct("own", "id")).alias("least"))
+    at = postings.drop("own").join(parts.select("gid", "component", "least.own", F.col("least.id").alias("rep")), "gid")
+    centre = F.min(F.struct("own", "rep", "n", "pos", "component")).alias("c")
+    centres = at.groupBy("token").agg(centre)
+    if star:
+        sided = at.join(centres.select("token", F.col("c.component").alias("centred")), "token")
+        at = sided.where("component <> centred").drop("centred")
+        drawn = sided.where("component = centred").groupBy("token").agg(F.min(F.struct(F.xxhash64("rep", "token", F.lit(star)).alias("h"), "rep", "n", "pos")).alias("c"))
+        centres = at.groupBy("token").agg(centre).select("token", "c.rep", "c.n", "c.pos").union(drawn.select("token", "c.rep", "c.n", "c.pos"))
+    else:
+        centres = centres.select("token", "c.rep", "c.n", "c.pos")
+    centres = centres.select("token", F.col("rep").alias("centre"), F.col("n").alias("other_n"), F.col("pos").alias("other_pos"))
+    pairs = at.join(centres, "token").where(_fits(percent)).select("gid", "component", "centre").distinct()
+    met = pairs.join(placed.select("gid", "component", "id"), ["gid", "component"]).where("id <> centre")
+    return met.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
+
+
+def _remaining(postings: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members, in different components, of all pairs of groups that sizes and places let through.
+
+    Lists are split by bands of size, which only pairs of the same band or of
+    neighbouring ones can link across.
     """
-    base = materialize(signatures(docs, words, percent, text_col, id_col), "jaccard-base")
-    usable = base.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
-    classes = materialize(usable.groupBy("signature").agg(F.min("doc_id").alias("id")), "jaccard-classes")
-    first = usable.join(classes.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    # those whose prefixes meet another's in the order of the zone; only their whole sets are needed
-    near = materialize(_prefixes(first.select(F.col("doc_id").alias("id"), "n", "zone", "tokens"), percent), "jaccard-near")
-    release(docs.sparkSession)
-    active = _busy(near.select("id", F.explode("prefix").alias("s")).select("id", "s.token")).select("id").distinct()
-    sets = materialize(_sets(docs, active, words, text_col, id_col), "jaccard-sets")
-    release(docs.sparkSession)
-    # among them, an order of all shingles by how many sets hold them
-    prefixes = materialize(_prefixes(sets.select("id", F.size("tokens").alias("n"), F.size("tokens").alias("zone"), "tokens"), percent), "jaccard-prefixes")
-    release(docs.sparkSession)
-    groups = materialize(prefixes.groupBy("n", "prefix").agg(F.min(F.struct("own", "id")).alias("least")).select("n", "prefix", "least.own", F.col("least.id").alias("gid")), "jaccard-groups")
-    members = materialize(prefixes.select("id", "n", "own", "prefix").join(groups.select("n", "prefix", "gid"), ["n", "prefix"]).select("id", "gid", "n", "own"), "jaccard-members")
-    postings = groups.select(F.explode("prefix").alias("s"), "gid", "n", "own").select("s.token", "s.pos", "gid", "n", "own")
-    postings = materialize(_busy(postings), "jaccard-postings")
-
-    # pairs of groups with a centre are expanded to members beforehand: each member stands in its group's lists
-    lists = materialize(postings.join(members.select("gid", "id"), "gid").select("token", "pos", F.col("id").alias("gid"), "n", "own"), "jaccard-lists")
-
-    # round by round: pairs with the centre of each list
-    label = members.select("id", F.col("id").alias("component"))
-    links = None
-    compared = None
-    for star in range(STARS):
-        at = lists if star == 0 else lists.join(label.select(F.col("id").alias("gid"), "component"), "gid")
-        centres = at.groupBy("token").agg(F.min(F.struct("own", "gid", "n", "pos")).alias("c"))
-        if star:
-            # what isn't in the component of its list's centre meets another member of that, drawn by hash, and a centre of its own
-            of = centres.join(label.select(F.col("id").alias("_gid"), F.col("component").alias("centred")), F.col("c.gid") == F.col("_gid")).select("token", "centred")
-            sided = at.join(of, "token")
-            at = sided.where("component <> centred").drop("component", "centred")
-            drawn = sided.where("component = centred").groupBy("token").agg(F.min(F.struct(F.xxhash64("gid", "token", F.lit(star)).alias("h"), "gid", "n", "pos")).alias("d"))
-            centres = at.groupBy("token").agg(F.min(F.struct("own", "gid", "n", "pos")).alias("c")).select("token", "c.gid", "c.n", "c.pos").union(drawn.select("token", "d.gid", "d.n", "d.pos"))
-        else:
-            centres = centres.select("token", "c.gid", "c.n", "c.pos")
-        centres = centres.select("token", F.col("gid").alias("centre"), F.col("n").alias("other_n"), F.col("pos").alias("other_pos"))
-        pairs = at.join(centres, "token").where((F.col("gid") != F.col("centre")) & _fits(percent)).select(F.least("gid", "centre").alias("a"), F.greatest("gid", "centre").alias("b"))
-        pairs = materialize(pairs.distinct() if compared is None else pairs.distinct().join(compared, ["a", "b"], "left_anti"), "jaccard-pairs")
-        compared = pairs if compared is None else compared.union(pairs)
-        found = materialize(_verified(pairs, sets, percent), "jaccard-links")
-        release(docs.sparkSession)
-        links = found if links is None else links.union(found)
-        label = materialize(members.select("id").join(components(links), "id", "left").select("id", F.coalesce("component", "id").alias("component")), "jaccard-labels")
-
-    # the rest: pairs of groups across components, expanded to their members
-    placed = materialize(members.join(label, "id"), "jaccard-placed")
     spans = placed.groupBy("gid").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("n").alias("n"), F.max("own").alias("own"))
-    at = postings.join(spans.select("gid", "low", "high"), "gid")
+    at = postings.drop("n", "own").join(spans, "gid")
     mixed = at.groupBy("token").agg(F.min("low").alias("l"), F.max("high").alias("h")).where("l <> h").select("token")
-    at = materialize(at.join(mixed, "token"), "jaccard-mixed")
-    other = at.select("token", F.col("pos").alias("other_pos"), F.col("gid").alias("other"), F.col("n").alias("other_n"), F.col("low").alias("other_low"), F.col("high").alias("other_high"))
+    at = at.join(mixed, "token").withColumn("band", F.floor(F.log(F.col("n")) / np.log(100 / percent) + 1e-9) if percent < 100 else F.col("n"))
+    other = at.select("token", F.col("band").alias("met"), F.col("pos").alias("other_pos"), F.col("gid").alias("other"), F.col("n").alias("other_n"), F.col("low").alias("other_low"), F.col("high").alias("other_high"))
     apart = (F.col("low") != F.col("other_low")) | (F.col("high") != F.col("other_high")) | (F.col("low") != F.col("high"))
-    group_pairs = at.join(other, "token").where((F.col("gid") < F.col("other")) & _fits(percent) & apart).select("gid", "other").distinct()
+    # a pair meets where its lower band reaches up: one band, as sizes a factor of percent apart can straddle one border
+    reaching = at.withColumn("met", F.explode(F.array(F.col("band"), F.col("band") + 1)))
+    once = (F.col("met") > F.col("band")) | (F.col("gid") < F.col("other"))
+    pairs = reaching.join(other, ["token", "met"]).where(once & _fits(percent) & apart).select("gid", "other").distinct()
     alike = F.lit(100 + percent) * (F.col("n") - F.col("own")) >= F.lit(2 * percent) * F.col("n")  # as _fits has it, for members of one group
-    group_pairs = group_pairs.union(spans.where((F.col("low") != F.col("high")) & alike).select("gid", F.col("gid").alias("other")))
+    pairs = pairs.union(spans.where((F.col("low") != F.col("high")) & alike).select("gid", F.col("gid").alias("other")))
     one, two = (placed.select(F.col("gid").alias(g), F.col("id").alias(i), F.col("component").alias(f"component_{i}")) for g, i in (("gid", "x"), ("other", "y")))
-    rest = (
-        group_pairs.join(one, "gid")
-        .join(two, "other")
-        .where((F.col("component_x") != F.col("component_y")) & ((F.col("gid") != F.col("other")) | (F.col("x") < F.col("y"))))
-        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        .distinct()
-        .join(compared, ["a", "b"], "left_anti")
-    )
-    links = links.union(materialize(_verified(materialize(rest, "jaccard-rest"), sets, percent), "jaccard-links"))
-    label = materialize(components(links), "jaccard-labels")
-    found = classes.join(label, "id", "left")
-    if count_links:
-        release(docs.sparkSession)
-        found = found.join(materialize(_counted(label, sets, percent), "jaccard-counts"), "id", "left")
-    else:
-        found = found.withColumn("n_links", F.lit(None).cast("long"))
-    found = materialize(found.select("signature", F.coalesce("component", "id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "jaccard-found")
-    linked = usable.select("doc_id", "n", "signature").join(found, "signature").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id", "n_links")
-    alone = base.where(F.col("doc_id").isNull() | (F.col("n") == 0)).select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
-    every = linked.unionByName(alone)
-    return every if count_links else every.drop("n_links")
+    met = pairs.join(one, "gid").join(two, "other").where((F.col("component_x") != F.col("component_y")) & ((F.col("gid") != F.col("other")) | (F.col("x") < F.col("y"))))
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, text_col: str = "text", id_col: str = "doc_id", count_links: bool = True) -> DataFrame:
+    """doc_id, n_shingles, component_id, and n_links, of every row of ``docs``.
+
+    n_links is the number of other sets of shingles that a row's set links
+    with; without ``count_links`` the column isn't there.
+
+    Two rows link when 100 * intersection >= percent * union of their shingle
+    sets; rows of one id are one document. component_id is the smallest doc_id
+    reachable, itself included. Null and empty texts have no shingles and link
+    with nothing. Rows with a null id are returned with a null component. Texts
+    are read whole, however long. An empty table gives an empty one; only the
+    two named columns are read.
+    """
+    with Scratch(docs.sparkSession) as tables:
+        base = tables.write(signatures(docs, words, percent, text_col, id_col), "base")
+        usable = base.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
+        # a class has equal sets; its number is pinned by writing it
+        classes = usable.groupBy("signature").agg(F.min("doc_id").alias("doc_id")).select("signature", "doc_id", F.monotonically_increasing_id().alias("id"))
+        classes = tables.write(classes, "classes")
+        first = usable.join(classes, ["signature", "doc_id"]).dropDuplicates(["signature", "doc_id"])
+        # those whose prefixes meet another's in the order of the zone; only their whole sets are needed
+        near = tables.write(_prefixes(first.select("id", "n", "zone", "tokens"), percent), "near")
+        rows = tables.write(base.select("doc_id", "n", "signature"), "rows")
+        tables.drop("base")
+        active = _busy(near.select("id", F.explode("prefix").alias("s")).select("id", "s.token")).select("id").distinct()
+        wanted = tables.write(classes.join(active, "id"), "wanted")
+        tables.drop("near")
+        sets = tables.write(_sets(docs, wanted, words, text_col, id_col), "sets")
+        # among them, an order of all shingles by how many sets hold them
+        prefixes = tables.write(_prefixes(sets.select("id", F.size("tokens").alias("n"), F.size("tokens").alias("zone"), "tokens"), percent), "prefixes")
+        tables.drop("wanted")
+        groups = tables.write(prefixes.groupBy("n", "prefix").agg(F.min(F.struct("own", "id")).alias("least")).select("n", "prefix", "least.own", F.col("least.id").alias("gid")), "groups")
+        members = tables.write(prefixes.select("id", "n", "own", "prefix").join(groups.select("n", "prefix", "gid"), ["n", "prefix"]).select("id", "gid", "n", "own"), "members")
+        tables.drop("prefixes")
+        postings = tables.write(_posted(groups), "postings")
+        tables.drop("groups")
+
+        # round by round: pairs with the centre of each list
+        placed, links, compared = members.withColumn("component", F.lit(0).cast("long")), None, None
+        for star in range(STARS):
+            pairs = _starred(postings, placed, star, percent)
+            pairs = tables.write(pairs if compared is None else pairs.join(compared, ["a", "b"], "left_anti"), "pairs")
+            compared = pairs if compared is None else compared.union(pairs)
+            found = tables.write(_verified(pairs, sets, percent), "links")
+            links = found if links is None else links.union(found)
+            tables.drop("placed")
+            placed = tables.write(members.join(components(links, tables, "round"), "id", "left").withColumn("component", F.coalesce("component", "id")), "placed")
+            tables.drop("round")
+
+        # the rest: pairs of groups across components, expanded to their members
+        rest = tables.write(_remaining(postings, placed, percent).join(compared, ["a", "b"], "left_anti"), "rest")
+        tables.drop("pairs", "placed", "members", "postings")
+        links = links.union(tables.write(_verified(rest, sets, percent), "links"))
+        tables.drop("rest")
+        label = components(links, tables, "last")
+        counts = tables.write(_counted(label, sets, percent), "counts") if count_links else None
+        tables.drop("sets")
+        same = _same_document(rows, classes, tables)
+        if same is not None:
+            label = components(links.union(same), tables, "same")
+        placed = tables.write(classes.join(label, "id", "left").withColumn("component", F.coalesce("component", "id")), "classed")
+        tables.drop("links", "last", "same", "twice", "classes")
+        found = placed.join(placed.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component")
+        if count_links:
+            found = found.join(counts, "id", "left")
+        found = tables.write(found.select("signature", "component_id", *([F.coalesce("n_links", F.lit(0)).alias("n_links")] if count_links else [])), "found")
+        tables.drop("classed", "counts")
+        size = F.col("n").cast("long").alias("n_shingles")
+        some = F.col("doc_id").isNotNull() & (F.col("n") > 0)
+        linked = rows.where(some).join(found, "signature").select("doc_id", size, *found.columns[1:])
+        alone = rows.where(~some).select("doc_id", size, F.col("doc_id").alias("component_id"), *([F.lit(0).cast("long").alias("n_links")] if count_links else []))
+        if same is None:
+            return linked.unionByName(alone)
+        # a text without shingles is in the component of its document's others
+        least = tables.write(linked.groupBy("doc_id").agg(F.min("component_id").alias("least")), "least")
+        return linked.unionByName(alone.join(least, "doc_id", "left").withColumn("component_id", F.coalesce("least", "component_id")).drop("least"))
+
+
+def _same_document(rows: DataFrame, classes: DataFrame, tables: Scratch) -> DataFrame | None:
+    """Edges (a, b) between the classes of each id that has several; None if no id has."""
+    some = rows.where(F.col("doc_id").isNotNull())
+    twice = tables.write(some.groupBy("doc_id").agg(F.min("signature").alias("lo"), F.max("signature").alias("hi")).where("lo <> hi").select("doc_id"), "twice")
+    if not twice.head(1):
+        return None
+    held = some.where("n > 0").join(twice, "doc_id", "left_semi").select("doc_id", "signature").distinct().join(classes.select("signature", "id"), "signature")
+    least = held.groupBy("doc_id").agg(F.min("id").alias("a"))
+    return held.join(least, "doc_id").where("a <> id").select("a", F.col("id").alias("b"))
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ def test_pii_adds_announced_proposals_of_every_kind(spark):
     assert got == [["ann.lee (at) example (dot) com"], ["10.1.2.3:8080"], ["(058) 555-3468"], ["4111.1111.1111.1111"]] + [[]] * len(none)
 
 
-@pytest.mark.parametrize("block", [4, 128])
+@pytest.mark.parametrize("block", [500, 200_000])
 def test_jaccard_counts_links_inside_components(spark, monkeypatch, block):
     """Each text of a family of near copies links with all those that a comparison of all pairs finds."""
     monkeypatch.setattr(ngram_jaccard, "BLOCK", block)
@@ -45,3 +45,28 @@ def test_jaccard_counts_links_inside_components(spark, monkeypatch, block):
     df = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string")
     got = {r.doc_id: r.n_links for r in ngram_jaccard.jaccard_components(df).collect()}
     assert got == {i: len(o) for i, o in other.items()} and max(got.values()) > 4
+
+
+def test_jaccard_rows_that_share_an_id(spark):
+    """All rows of an id count, whichever text they have; they are one document, and tables in between are dropped."""
+    text = lambda seed: " ".join(f"{seed}{i}" for i in range(30))
+    rows = [(1, text("a")), (1, text("b")), (2, text("b")), (3, text("c")), (2, text("d")), (4, text("d") + " x"), (5, None), (6, text("e")), (1, ""), (9, ""), (9, text("a"))]
+    got = {(r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in ngram_jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, 27, 1, 0), (2, 27, 1, 0), (2, 27, 1, 1), (3, 27, 3, 0), (4, 28, 1, 1), (5, 0, 5, 0), (6, 27, 6, 0), (1, 0, 1, 0), (9, 0, 1, 0), (9, 27, 1, 0)}
+
+
+def test_jaccard_of_unlike_sizes_over_a_shared_passage(spark):
+    """Many documents hold one passage and little else: lists meet across bands of size."""
+    rng = random.Random(12)
+    shared = [f"p{i}" for i in range(60)]
+    texts = {i: shared[: rng.randrange(30, 60)] + [f"u{i}-{k}" for k in range(rng.randrange(8))] for i in range(90)}
+    sets = {i: {tuple(w[k : k + 4]) for k in range(len(w) - 3)} for i, w in texts.items()}
+    parent = {i: i for i in texts}
+    find = lambda i: i if parent[i] == i else find(parent[i])
+    for a in texts:
+        for b in texts:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in ngram_jaccard.jaccard_components(df).collect()} == {i: find(i) for i in texts}

@@ -6,7 +6,7 @@ import pytest
 
 pytest.importorskip("public_tokenizers")
 import corpus_pipeline  # noqa: E402
-from plenary.llm import ngram_jaccard, pii  # noqa: E402
+from plenary.llm import ngram_jaccard, pii, queries  # noqa: E402
 
 
 def test_pipeline_near_copies_between_the_thresholds(spark):
@@ -18,15 +18,79 @@ def test_pipeline_near_copies_between_the_thresholds(spark):
     assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, df, "").collect()} == {1, 3, 4}
 
 
-def test_pii_adds_announced_proposals_of_every_kind(spark):
-    """Base spans alone teach: no text holds a chance negative."""
+def test_pii_adds_planted_variants_and_no_look_alikes(spark):
+    """Every kind has a model, on a corpus of base spans and on one without any."""
     base = lambda i: f"say user{i}@host{i % 7}.org then +1 ({200 + i}) 555-{3000 + i} then 10.{i}.0.1 then 4111 1111 1111 1111 end"
-    more = ["email: ann.lee (at) example (dot) com now", "server 10.1.2.3:8080 now", "tel (058) 555-3468 now", "credit 4111.1111.1111.1111 now"]
-    none = ["wait at noon. Then go", "email us at noon. Then go", "server 10.1.2.999:8080 now", "tel 55 12 34 now", "score (058) 555-3468 now", "credit 4111.1111.1111.1112 now"]
-    df = spark.createDataFrame(list(enumerate([base(i) for i in range(60)] + more + none)), "doc_id long, text string")
-    found = pii.find(df, keep=("text",)).where("doc_id >= 60").orderBy("doc_id")
-    got = [sorted(s.match for kind in pii.KINDS for s in r[f"added_{kind}"]) for r in found.collect()]
-    assert got == [["ann.lee (at) example (dot) com"], ["10.1.2.3:8080"], ["(058) 555-3468"], ["4111.1111.1111.1111"]] + [[]] * len(none)
+    more = {
+        "email: ann.lee (at) example (dot) com now": "ann.lee (at) example (dot) com", "write bob[at]site[dot]org now": "bob[at]site[dot]org", "contact eve at corp dot net now": "eve at corp dot net",
+        "server 10.1.2.3:8080 now": "10.1.2.3:8080", "see 10.9.8.7:443 now": "10.9.8.7:443", "tel (058) 555-3468 now": "(058) 555-3468", "dial 0044 201 555 3468 now": "0044 201 555 3468",
+        "call 201.555.3468 now": "201.555.3468", "credit 4111.1111.1111.1111 now": "4111.1111.1111.1111", "pay 5500/0000/0000/0004 now": "5500/0000/0000/0004",
+    }
+    none = [
+        "wait at noon. Then go", "email us at noon. Then go", "look at dot com now", "server 10.1.2.999:8080 now", "server 10.1.2.3:99999 now", "version 10.1.2.3:8080 now", "tel 55 12 34 now",
+        "score (058) 555-3468 now", "on 2024-05-12 10.30 we met", "at 129.138.182.176 now", "credit 4111.1111.1111.1112 now", "serial 4111.1111.1111.1111 now", "sum 4.111.111.111.111.111 now", "41111111.11111111 now",
+    ]
+    for corpus in ([base(i) for i in range(60)], ["nothing to see"]):
+        models = pii.fit(spark.createDataFrame(list(enumerate(corpus)), "doc_id long, text string"))
+        assert set(models) == set(pii.KINDS) and all(trees and threshold < float("inf") for _, trees, threshold in models.values())
+        df = spark.createDataFrame(list(enumerate([*more, *none])), "doc_id long, text string")
+        got = [sorted(s.match for kind in pii.KINDS for s in r[f"added_{kind}"]) for r in pii.find(df, models).orderBy("doc_id").collect()]
+        assert got == [[x] for x in more.values()] + [[]] * len(none)
+
+
+def test_pii_redaction_keeps_columns_of_any_name(spark):
+    rows = [(1, "a@b.co x", "base_email", "t", 8, "r"), (2, None, None, None, None, None), (3, "", "s", "s", 0, "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, base_email string, _text string, n_chars long, row string")
+    assert sorted(map(tuple, pii.redact(df).collect()), key=str) == sorted([(1, "[EMAIL] x", "base_email", "t", 9, "r"), *rows[1:]], key=str)
+
+
+def test_op9_on_whole_tables(spark):
+    """All columns of the query against regular expressions and trees walked in plain Python, over a whole table."""
+    import hashlib
+    import re
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    models = pii.fit(docs)
+    patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+    luhn = lambda d: sum((int(c) * 2 - 9 * (int(c) > 4) if i % 2 else int(c)) for i, c in enumerate(reversed(d))) % 10 == 0
+
+    def holds(kind, m):
+        d = re.sub("[^0-9]", "", m)
+        return {"email": True, "ip": kind != "ip" or all(int(x) < 256 for x in m.split(".")), "card": 14 <= len(d) <= 19 and luhn(d), "phone": 10 <= len(d) <= 15}[kind]
+
+    def possible(kind, m):
+        d = re.sub("[^0-9]", "", m)
+        if kind == "email":
+            written = re.sub(r" ?(\(dot\)|\[dot\]| dot ) ?", ".", re.sub(r" ?(@|\(at\)|\[at\]| at ) ?", "@", m))
+            return bool(re.fullmatch(r"[^@ ]+@[^@ ]+\.[A-Za-z]{2,}", written)) and not re.search(r" at .*\.", m)
+        if kind == "ip":
+            ip, _, port = m.partition(":")
+            return all(int(x) < 256 for x in ip.split(".")) and int(port or 0) < 65536
+        return 14 <= len(d) <= 19 and luhn(d) if kind == "card" else 10 <= len(d) <= 15
+
+    def row(kind, m, before, after):
+        separators, groups = re.sub("[A-Za-z0-9]", "", m), re.split("[^A-Za-z0-9]+", m)
+        mark = {"email": "@" in m, "ip": ":" not in m, "card": m[0] in "3456", "phone": m.startswith(("+", "00"))}[kind]
+        tight = bool(re.search("[0-9A-Za-z@#_]$", before)) + bool(re.match("[0-9A-Za-z@_]|[.,][0-9]", after))
+        return [len(m), len(re.sub("[^0-9]", "", m)), len(re.sub("[^A-Za-z]", "", m)), len(separators), len(set(separators)) or 1, len(groups), max(map(len, groups)), mark, tight, bool(re.search(pii.CUES[kind], before)), bool(re.search(pii.AGAINST, before))]
+
+    got = {r.doc_id: r for r in queries.queries()["op9_pii"](spark, "/root/testdata/sf0.001").collect()}
+    for r in docs.collect():
+        text, base, every = r.text or "", [], []
+        for order, kind in enumerate(pii.KINDS):
+            spans = [m.span() for m in re.finditer(patterns[kind], text) if holds(kind, m[0])]
+            base += [(a, order, b) for a, b in spans]
+            constant, trees, threshold = models[kind]
+            for m in re.finditer(pii.GENERATORS[kind], text):
+                a, b = m.span()
+                met = [(x, y) for x, y in spans if x < b and y > a and not (kind == "ip" and x == a and y < b)]
+                if not met and possible(kind, m[0]) and pii.margin(constant, trees, row(kind, m[0], text[max(0, a - 24) : a], text[b : b + 2])) >= threshold:
+                    every.append((a, order, b))
+        joined = lambda spans: ",".join(f"{pii.KINDS[o]}:{a}:{b}" for a, o, b in sorted(spans))
+        x = got.pop(r.doc_id)
+        assert [x.n_email, x.n_ip, x.n_card, x.n_phone] == [sum(o == k for _, o, _ in base) for k in range(4)]
+        assert x.base_sha256 == hashlib.sha256(joined(base).encode()).hexdigest() and x.spans == joined(base + every)
+    assert not got
 
 
 @pytest.mark.parametrize("block", [500, 200_000])

@@ -14,6 +14,7 @@ so a length that a third of all pieces share is no single task's work.
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
 from collections import defaultdict
 
@@ -36,8 +37,9 @@ class ChunkIds:
 
     The tokenizer drops white space before anything spans it, so the ids of a
     text are those of its chunks between ASCII white space in a row. A chunk of
-    letters and closing punctuation is put together from those two; letters not
-    met before are encoded many at a time.
+    letters and closing punctuation is put together from those two, if the
+    letters are still letters only when normalised and in lower case; letters
+    not met before are encoded many at a time.
     """
 
     PLAIN = re.compile(r"([^\W\d_]+)([.,;:!?#$%&*|-]*)")
@@ -75,7 +77,7 @@ class ChunkIds:
         found, plain, new = {}, [], set()
         for chunk in chunks:
             text = chunk.decode("utf-8")
-            if len(chunk) <= MEMO_BYTES and (m := self.PLAIN.fullmatch(text)):
+            if len(chunk) <= MEMO_BYTES and (m := self.PLAIN.fullmatch(text)) and (m[1].isascii() or unicodedata.normalize("NFC", m[1]).lower().isalpha()):
                 plain.append((chunk, m[1], m[2]))
                 new.update(m.groups())
             else:
@@ -130,7 +132,9 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, separator:
     """doc_id, piece, start, length, ids_crc32 of every piece of every row of ``docs``.
 
     A document's ids end with ``separator``; a null or empty text has that one
-    id only. Only a document longer than ``capacity`` is cut.
+    id only. Only a document longer than ``capacity`` is cut; a very long text
+    is encoded whole. Rows that repeat an id or a text give pieces each; an
+    empty table gives none. Only the two named columns are read.
     """
     end, step = np.array([separator], dtype="<u4").tobytes(), 4 * capacity
 

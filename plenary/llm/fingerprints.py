@@ -7,14 +7,16 @@ deleted by adding or subtracting its vector (``plus``, ``minus``).
 
 A vector has three parts: ``IDENTITY`` lanes, seeded hashes of the whole
 paragraph modulo 2**56, which settle equality; the number of phrases, modulo
-2**40; and ``16 * WORDS`` long words modulo 2**60, each of three 20-bit
-counters, which hold how often each bit is set in hashes of the paragraph's
-phrases. The counters give likeness: as signed sums they estimate the cosine of
-two multisets of phrases. Phrases are cut at punctuation and after words that
-end in certain letters, so an edit changes the phrases around it only.
-
-Likeness holds for fewer than 2**20 phrases in a text or a sum; from there on a
-counter may carry into its neighbour. Equality isn't bounded.
+2**40; and ``16 * WORDS`` long words, each of three counters modulo 2**20, which
+hold how often each bit is set in hashes of the paragraph's phrases. A spare bit
+above each counter keeps sums and differences from reaching its neighbour. The
+counters give likeness: as signed sums they estimate the cosine of two multisets
+of phrases. Phrases are cut within paragraphs, at punctuation and after words
+that end in certain letters, so an edit changes the phrases around it only.
+
+With 2**20 phrases or more in a text or a sum (some ten megabytes), a counter is
+taken for the value nearest to half of the phrases; likeness is then right as
+long as no bit's count is 2**19 away from that. Equality isn't bounded.
 """
 
 from __future__ import annotations
@@ -28,11 +30,13 @@ IDENTITY = 8
 #: 64-bit hashes of a phrase; each gives 16 long words of three counters, 48 signs.
 WORDS = 4
 COUNTERS = 16 * WORDS
-#: Where phrases end: punctuation, line feeds, and spaces after words that end in one of these letters.
-PHRASE = r"[.,;:!?|\n]+\s*|(?<=[dgklmsuvz])\s+"
-#: The bits that are spread over a long word: at 0, 20 and 40.
-SPREAD = 1 | 1 << 20 | 1 << 40
-IDENTITY_MOD, COUNT_MOD, COUNTER_MOD = (1 << 56) - 1, (1 << 40) - 1, (1 << 60) - 1
+#: Where phrases end: punctuation, line feeds, and spaces after words that end in one of these letters. No match goes beyond a line feed.
+PHRASE = r"\n|[.,;:!?|]+[^\S\n]*|(?<=[dgklmsuvz])[^\S\n]+"
+#: Where the counters of a long word begin, the bits that are added to them, and the spare bits above them.
+AT = (0, 21, 42)
+SPREAD, SPARE = sum(1 << at for at in AT), sum(1 << at + 20 for at in AT)
+COUNTER_MOD = sum(((1 << 20) - 1) << at for at in AT)
+IDENTITY_MOD, COUNT_MOD = (1 << 56) - 1, (1 << 40) - 1
 
 
 def _sum(values: Column, mask: int) -> Column:
@@ -54,7 +58,7 @@ def _identity(paragraphs: Column, seed: int) -> Column:
 
 
 def _counter(hashes: Column, shift: int) -> Column:
-    """Three counters of the bits at ``shift`` and 20 and 40 above it."""
+    """Three counters of the bits at ``shift`` and 21 and 42 above it."""
     return F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: (a + F.shiftrightunsigned(h, shift).bitwiseAND(F.lit(SPREAD))).bitwiseAND(F.lit(COUNTER_MOD)))
 
 
@@ -77,6 +81,8 @@ def vector(text: Column) -> Column:
 
 
 _MASKS = [IDENTITY_MOD] * IDENTITY + [COUNT_MOD] + [COUNTER_MOD] * COUNTERS
+#: Set before a subtraction, so that no counter borrows from the next.
+_SPARES = [0] * (IDENTITY + 1) + [SPARE] * COUNTERS
 
 
 def plus(a: Column, b: Column) -> Column:
@@ -87,16 +93,17 @@ def plus(a: Column, b: Column) -> Column:
 
 def minus(a: Column, b: Column) -> Column:
     """Fingerprint of ``a`` without the paragraphs of ``b``."""
-    masks = F.array(*map(F.lit, _MASKS))
-    return F.zip_with(F.zip_with(a, b, lambda x, y: x - y), masks, lambda x, m: x.bitwiseAND(m))
+    masks, spares = F.array(*map(F.lit, _MASKS)), F.array(*(F.lit(s).cast("long") for s in _SPARES))
+    return F.zip_with(F.zip_with(F.zip_with(a, spares, lambda x, s: x.bitwiseOR(s)), b, lambda x, y: x - y), masks, lambda x, m: x.bitwiseAND(m))
 
 
 def _signed(fingerprint: Column) -> Column:
     """Signed sums of the counters: bits set less bits not set."""
     words = F.slice(fingerprint, IDENTITY + 2, COUNTERS)
-    count = F.element_at(fingerprint, IDENTITY + 1)
-    split = F.flatten(F.transform(words, lambda w: F.array(*(F.shiftright(w, at).bitwiseAND(F.lit((1 << 20) - 1)) for at in (0, 20, 40)))))
-    return F.transform(split, lambda c: (2 * c - count).cast("double"))
+    n, whole = F.element_at(fingerprint, IDENTITY + 1), float(1 << 20)
+    split = F.flatten(F.transform(words, lambda w: F.array(*(F.shiftright(w, at).bitwiseAND(F.lit((1 << 20) - 1)) for at in AT))))
+    nearest = lambda c: F.when(n < whole, c.cast("double")).otherwise(c + whole * F.round((n / 2 - c) / whole))
+    return F.transform(split, lambda c: 2 * nearest(c) - n)
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -113,23 +120,31 @@ def text_of(fingerprint: Column) -> Column:
 
 
 def fingerprint(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """doc_id and fingerprint (array of long) of every row; a null text counts as empty."""
+    """doc_id and fingerprint (array of long) of every row.
+
+    A null text counts as empty; texts are read whole, however long. Rows that
+    repeat an id or a text give a row each; an empty table gives an empty one.
+    Only the two named columns are read.
+    """
     return docs.select(F.col(id_col).alias("doc_id"), vector(F.coalesce(F.col(text_col), F.lit(""))).alias("fingerprint"))
 
 
-#: Ranges of ids that neighbours are found in; each has about as many rows.
-RANGES = 2048
+#: Ranges of ids that neighbours are found in: so many, and more where these would have more rows than this.
+RANGES, RANGE_ROWS = 2048, 50_000
 
 
-def with_next(docs: DataFrame, id_col: str, value_cols: list[str], ranges: int = RANGES) -> DataFrame:
+def with_next(docs: DataFrame, id_col: str, value_cols: list[str], ranges: int | None = None) -> DataFrame:
     """``docs`` with ``next_<col>``: values of the row with the next smaller id, after the last those of the first.
 
     Ids are dealt to ranges by approximate quantiles. The first row of each
     range is also sent, marked, to the range before it in the descending order,
     so that every row finds its neighbour within its range, and values are
     shuffled once. Null ids come last; rows that repeat an id come in the order
-    of their values. A single row is its own neighbour.
+    of their values, in one task. A single row is its own neighbour; an empty
+    table gives an empty one.
     """
+    if ranges is None:
+        ranges = max(RANGES, -(-docs.select(id_col).count() // RANGE_ROWS))
     from pyspark.ml.feature import Bucketizer
 
     spark = docs.sparkSession

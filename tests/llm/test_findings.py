@@ -134,3 +134,97 @@ def test_jaccard_of_unlike_sizes_over_a_shared_passage(spark):
                 parent[max(x, y)] = min(x, y)
     df = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string")
     assert {r.doc_id: r.component_id for r in ngram_jaccard.jaccard_components(df).collect()} == {i: find(i) for i in texts}
+
+
+def python_vector(text):
+    """The fingerprint of a text as the sum over its paragraphs, in plain Python."""
+    import re
+
+    import xxhash
+
+    start = lambda seed: xxhash.xxh64_intdigest(seed.to_bytes(4, "little"), 42)
+    hashed = lambda seed, x: xxhash.xxh64_intdigest(x.encode(), start(seed))
+    identity, count, bits = [0] * 8, 0, [[0] * 48 for _ in range(4)]
+    for paragraph in filter(None, text.split("\n")):
+        identity = [(a + hashed(seed, paragraph)) % 2**56 for seed, a in enumerate(identity)]
+        for phrase in filter(None, re.split(r"[.,;:!?|]+[ \t\x0b\f\r]*|(?<=[dgklmsuvz])[ \t\x0b\f\r]+", paragraph)):
+            count += 1
+            for word in range(4):
+                h = hashed(8 + word, phrase)
+                for i in range(48):
+                    bits[word][i] += h >> (i % 16 + 21 * (i // 16)) & 1
+    return identity + [count] + [sum(bits[w][shift + 16 * k] << 21 * k for k in range(3)) for w in range(4) for shift in range(16)], [2 * c - count for some in bits for c in some]
+
+
+def test_op5_on_whole_tables(spark):
+    """All columns against plain Python: fingerprints are sums over paragraphs."""
+    import hashlib
+    import math
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    order = sorted(texts, reverse=True)
+    got = {r.doc_id: r for r in queries.queries()["op5_document_fingerprints"](spark, "/root/testdata/sf0.001").collect()}
+    hexed = lambda v: "-".join(f"{x:x}" for x in v)
+
+    def near(x, y):
+        if x[0] == y[0]:
+            return 1.0
+        dot, own = sum(a * b for a, b in zip(x[1], y[1])), sum(a * a for a in x[1]) * sum(b * b for b in y[1])
+        return max(0.0, min(1.0, dot / math.sqrt(own))) if own else 0.0
+
+    vectors = {i: python_vector(texts[i]) for i in order}
+    for i, after in zip(order, [*order[1:], order[0]]):
+        text, half, r = texts[i], len(texts[i]) // 2, got[i]
+        edited = text[: len(text) - half] + texts[after][:half]
+        v = python_vector(edited)
+        assert (r.n_chars, r.edited_sha256) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
+        assert r.fingerprint == hexed(vectors[i][0]) and r.edited_fingerprint == hexed(v[0])
+        assert abs(r.near_edited - near(vectors[i], v)) < 1e-9 and abs(r.near_next - near(vectors[i], vectors[after])) < 1e-9
+
+
+def test_fingerprints_add_up(spark):
+    """Sums and differences of random paragraphs, spaces at their ends included, in any order."""
+    from pyspark.sql import functions as F
+
+    from plenary.llm import fingerprints
+
+    rng = random.Random(11)
+    make = lambda: "".join(rng.choice(["a", " ", "  ", "d ", ". ", "\t", "end", ",", "ü"]) for _ in range(rng.randrange(1, 9)))
+    rows = []
+    for i in range(120):
+        one, two = ([make() for _ in range(rng.randrange(1, 5))] for _ in range(2))
+        both = one + two
+        rng.shuffle(both)
+        rows.append((i, "\n".join(one), "\n".join(two), "\n".join(both)))
+    df = spark.createDataFrame([*rows, (999, "a", " b", " b\na")], "i long, a string, b string, c string").select(*(fingerprints.vector(F.col(x)).alias(x) for x in "abc"))
+    for r in df.select("a", "c", fingerprints.plus(F.col("a"), F.col("b")).alias("p"), fingerprints.minus(F.col("c"), F.col("b")).alias("m")).collect():
+        assert r.p == r.c and r.m == r.a
+
+
+def test_counters_beyond_their_range(spark):
+    """A sum of more than 2**20 phrases: counters don't reach their neighbours, and likeness holds."""
+    from pyspark.sql import functions as F
+
+    from plenary.llm import fingerprints
+
+    df = spark.createDataFrame([(" ".join(f"w{i}." for i in range(3000)),)], "t string").select(fingerprints.vector(F.col("t")).alias("v"))
+    once = df.first().v
+    for _ in range(9):
+        df = df.select(fingerprints.plus(F.col("v"), F.col("v")).alias("v"))
+    big = spark.createDataFrame([(once, df.first().v)], "a array<long>, b array<long>")
+    r = big.select(fingerprints.likeness(F.col("a"), F.col("b")).alias("near"), fingerprints.minus(F.col("b"), F.col("b")).alias("zero")).first()
+    assert r.near > 0.999 and not any(r.zero)
+
+
+def test_packing_of_letters_that_change_in_lower_case():
+    """Ids equal the library's on strings whose normalised lower case isn't letters only."""
+    from tokenizers import Tokenizer
+
+    from plenary.llm import packing
+
+    rng, tokenizer, memo = random.Random(6), Tokenizer.from_file(packing.tokenizer_path()), packing.ChunkIds(packing.tokenizer_path())
+    parts = ["a", "the", "İ", "é", "e\u0301", "²", "ß", "Σ", "ς", "1", ".", ",", "!?", "'s", " ", "\n", "ﬁ", "Ⅷ", "ª", "한", "\u1112\u1161\u11ab", "क", "\u0301"]
+    texts = ["theİ.", *("".join(rng.choice(parts) for _ in range(rng.randrange(1, 9))) for _ in range(4000))]
+    got = list(memo.texts([t.encode() for t in texts]))
+    assert got == [memo.encode(t) for t in texts] and got[0] == memo.encode("theİ.") and len(got[0]) == 4 * len(tokenizer.encode("theİ.", add_special_tokens=False).ids)

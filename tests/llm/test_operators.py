@@ -307,33 +307,59 @@ def test_quality(spark, docs):
     assert {r.tail_probability for r in quality.grade(docs, quality.fit(frames.empty(spark), labels)).collect()} == {1.0}
 
 
+def repeats(texts, k=50):
+    """Per text, which words lie in a window of k words that occurs elsewhere."""
+    seen = collections.Counter(tuple(w[i : i + k]) for w in texts.values() for i in range(len(w) - k + 1))
+    out = {i: [0] * len(w) for i, w in texts.items()}
+    for i, w in texts.items():
+        for at in range(len(w) - k + 1):
+            if seen[tuple(w[at : at + k])] > 1:
+                out[i][at : at + k] = [1] * k
+    return out
+
+
+def marked(spark, texts):
+    got = {i: [0] * len(w) for i, w in texts.items()}
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string")
+    for r in suffix_dedup.repeated_passages(df).collect():
+        got[r.doc_id][r.start_word : r.end_word] = [1] * (r.end_word - r.start_word)
+    return got
+
+
 def test_repeated_passages(spark, docs):
     rng = random.Random(7)
     word = lambda: f"w{rng.randrange(3000)}"
-    passages = [[word() for _ in range(n)] for n in (50, 60, 200)]
+    passages = [[word() for _ in range(n)] for n in (49, 50, 60, 200)]
     texts = {}
     for i in range(40):
         body = [word() for _ in range(rng.randrange(0, 120))]
-        for p in rng.sample(passages, rng.randrange(3)):
+        for p in rng.sample(passages, rng.randrange(4)):
             at = rng.randrange(len(body) + 1)
             body[at:at] = p
         texts[i] = body
-    df = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string")
-    got = {i: [0] * len(w) for i, w in texts.items()}
-    for r in suffix_dedup.repeated_passages(df).collect():
-        got[r.doc_id][r.start_word : r.end_word] = [1] * (r.end_word - r.start_word)
-
-    def marks(k):
-        seen = collections.Counter(tuple(w[i : i + k]) for w in texts.values() for i in range(len(w) - k + 1))
-        out = {i: [0] * len(w) for i, w in texts.items()}
-        for i, w in texts.items():
-            for at in range(len(w) - k + 1):
-                if seen[tuple(w[at : at + k])] > 1:
-                    out[i][at : at + k] = [1] * k
-        return out
-
-    full, loose = marks(50), marks(16)
-    for i in texts:
-        assert all(g >= f for g, f in zip(got[i], full[i])) and all(l >= g for g, l in zip(got[i], loose[i]))
+    assert marked(spark, texts) == repeats(texts)
     assert suffix_dedup.repeated_passages(frames.empty(spark)).count() == 0
     assert suffix_dedup.repeated_passages(docs).count() >= 1  # a text of one word, over and over
+
+
+def test_repeated_passages_of_overlapping_parts(spark):
+    """Parts of under 50 words that repeat next to each other, cut-outs of one text, and few words over and over."""
+    rng = random.Random(13)
+    word = lambda: f"w{rng.randrange(4000)}"
+    one, two = [word() for _ in range(40)], [word() for _ in range(40)]
+    texts = {i: [word() for _ in range(9)] + (one + two if i % 4 == 0 and i < 4 else one if i % 2 else two) + [word() for _ in range(9)] for i in range(30)}
+    source = [word() for _ in range(300)]
+    for i in range(30, 70):
+        a = rng.randrange(250)
+        texts[i] = [word() for _ in range(rng.randrange(5))] + source[a : a + rng.randrange(30, 120)] + [word() for _ in range(rng.randrange(5))]
+    for i in range(70, 80):
+        texts[i] = [rng.choice(["x", "y"]) if i % 2 else "x" for _ in range(rng.randrange(45, 90))]
+    texts[80] = [*source[:45], "other", *source[46:130], "more", *source[131:200]]
+    assert marked(spark, texts) == repeats(texts)
+
+
+def test_repeated_passages_of_rows_that_share_an_id(spark):
+    common, other = " ".join(f"c{i}" for i in range(80)), " ".join(f"o{i}" for i in range(80))
+    df = spark.createDataFrame([(1, common), (1, other), (2, common), (None, other), (3, None), (4, ""), (1, other)], "doc_id long, text string")
+    got = sorted((r.doc_id, r.start_word, r.end_word) for r in suffix_dedup.repeated_passages(df).collect())
+    assert got == [(1, 0, 80), (2, 0, 80)]

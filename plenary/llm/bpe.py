@@ -26,7 +26,8 @@ import json
 import mmap
 import re
 from array import array
-from collections import Counter
+from collections import Counter, defaultdict
+from operator import itemgetter
 
 import numpy as np
 from pyspark import SparkFiles
@@ -35,9 +36,9 @@ from pyspark.sql import functions as F
 
 from .common import begin, documents, remembers, shared_dir, slices
 
-LEXICON_WORDS, WORD_BYTES = 131_072, 40
+LEXICON_WORDS, WORD_BYTES = 65_536, 40
 #: Words that a task reports of its texts, and how many it counts before it drops the rarest.
-REPORTED, COUNTED = 65_536, 400_000
+REPORTED, COUNTED = 32_768, 300_000
 #: Pieces of text that a worker remembers at most, in each of two generations, and the most characters of one.
 MEMO_ENTRIES, MEMO_CHARS = 250_000, 40
 #: Characters of text, and rows, that are encoded at once.
@@ -415,16 +416,20 @@ def frequent_words(docs: DataFrame, tokenizer: str, text_col: str = "text", word
 
         begin()
         split, seen = vocabulary(tokenizer).words, Counter()
+        most = lambda n: sorted(seen.items(), key=itemgetter(1), reverse=True)[:n]
         for batch in slices(batches, 0, ROWS_AT_ONCE):
             for text in batch.column(0).to_pylist():
                 seen.update((text or "").split(" "))
             if len(seen) > COUNTED:
-                seen = Counter(dict(seen.most_common(COUNTED // 2)))
-        most = Counter()
-        for piece, n in seen.most_common(REPORTED):
-            for word in split(" " + piece):
-                most[word] += n
-        rows = [(w, n) for w, n in most.items() if len(w.encode("utf-8")) <= WORD_BYTES]
+                seen = Counter(dict(most(COUNTED // 2)))
+        # all pieces are cut into words at once: a word begins at each of the spaces
+        kept = [(p, n) for p, n in most(REPORTED) if p and not p[0].isspace()]
+        words = split(" " + " ".join([p for p, _ in kept])) if kept else []
+        piece = np.searchsorted(np.cumsum([len(p) + 1 for p, _ in kept]), np.cumsum([len(w) for w in words]) - 1, side="right")
+        counts: dict[str, int] = defaultdict(int)
+        for word, n in zip(words, np.array([n for _, n in kept], np.int64)[piece].tolist(), strict=True) if kept else ():
+            counts[word] += n
+        rows = [(w, n) for w, n in counts.items() if len(w.encode("utf-8")) <= WORD_BYTES]
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int64())], names=["word", "n"])
 
     counted = docs.select(text_col).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))

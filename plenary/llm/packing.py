@@ -26,8 +26,8 @@ from .common import begin, documents, materialize, remembers, slices
 
 CAPACITY = 2048
 #: Chunks, and parts of chunks, that a worker remembers at most, and the most bytes of one.
-#: Together some 150 MB.
-MEMO_ENTRIES, MEMO_BYTES = 300_000, 48
+#: Together some 250 MB.
+MEMO_ENTRIES, MEMO_BYTES = 600_000, 48
 #: Buckets over which ranks within a length are counted.
 BUCKETS = 1024
 

@@ -40,7 +40,7 @@ LEXICON_WORDS, WORD_BYTES = 65_536, 40
 #: Words that a task reports of its texts, and how many it counts before it drops the rarest.
 REPORTED, COUNTED = 32_768, 300_000
 #: Pieces of text that a worker remembers at most, in each of two generations, and the most characters of one.
-MEMO_ENTRIES, MEMO_CHARS = 250_000, 40
+MEMO_ENTRIES, MEMO_CHARS = 400_000, 40
 #: Characters of text, and rows, that are encoded at once.
 AT_ONCE, ROWS_AT_ONCE = 4_000_000, 1000
 #: Words up to this many bytes are merged side by side, longer ones each with a heap.

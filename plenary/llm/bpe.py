@@ -104,43 +104,20 @@ class PairTable:
         return found.reshape(left.shape)
 
 
-class Vocabulary:
-    """Merges, ids and bytes of a byte-level BPE file of the tokenizers library."""
-
-    def __init__(self, path: str):
-        import regex
+class Merges:
+    """Exact merging: the pair of lowest rank first, of equals the leftmost."""
 
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        model, alphabet = spec["model"], byte_alphabet()
-        if spec.get("normalizer") or model.get("byte_fallback") or model.get("ignore_merges") or model.get("dropout"):
-            raise ValueError("only plain byte-level BPE is supported")
-        ids = model["vocab"]
-        self.byte_ids = [0] * 256
-        for char, byte in alphabet.items():
-            self.byte_ids[byte] = ids[char]
+    def __init__(self, merges: list, ids: dict[str, int]):
         self.ranks: dict[int, int] = {}  # by pair, as one number
         self.made: list[int] = []  # by rank
-        for rank, pair in enumerate(model["merges"]):
+        for rank, pair in enumerate(merges):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.ranks.setdefault(ids[a] << 32 | ids[b], rank)
             self.made.append(ids[a + b])
-        self.pairs = PairTable(self.ranks, len(self.made))
-        self.made_array, self.byte_array = np.array(self.made, dtype=np.int64), np.array(self.byte_ids, dtype=np.int64)
-        self.added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
-        size = max([*ids.values(), *self.added.values()]) + 1
-        self.bytes = [b""] * size
-        for token, i in ids.items():
-            self.bytes[i] = bytes(alphabet[c] for c in token) if all(c in alphabet for c in token) else token.encode("utf-8")
-        for token, i in self.added.items():
-            self.bytes[i] = token.encode("utf-8")
-        # Contractions, then letters, digits or other marks with a space before them, then white space.
-        self.words = regex.compile(r"'(?:[stmd]|re|ve|ll)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
-        marks = sorted(map(regex.escape, self.added), key=len, reverse=True)
-        self.special = regex.compile("(" + "|".join(marks) + ")") if marks else None
+        self.pairs, self.made_array = PairTable(self.ranks, len(self.made)), np.array(self.made, dtype=np.int64)
 
-    def merge_many(self, words: list[bytes]) -> list[bytes]:
-        """Ids of each word, by exact merging, as little-endian 32-bit bytes.
+    def many(self, words: list[bytes], start) -> list[bytes]:
+        """Ids of each word as little-endian 32-bit bytes; ``start`` gives the ids of a matrix of bytes before any merge.
 
         Words of one length are the rows of a matrix. Each step merges the best
         pair of every row that has one, so rows that go on stay equally long.
@@ -150,9 +127,10 @@ class Vocabulary:
             places = at.tolist()
             if length > SCAN_BYTES:
                 for place in places:
-                    out[place] = array("I", self.merge(words[place])).tobytes()
+                    ids = start(np.frombuffer(words[place], np.uint8)[None, :])[0].tolist()
+                    out[place] = array("I", self.one(ids)).tobytes()
                 continue
-            ids = self.byte_array[np.frombuffer(b"".join([words[i] for i in places]), np.uint8).reshape(len(places), length)]
+            ids = start(np.frombuffer(b"".join([words[i] for i in places]), np.uint8).reshape(len(places), length))
             ranks, none = self.pairs(ids[:, :-1], ids[:, 1:]), len(self.made)
             while len(at):
                 width = ids.shape[1]
@@ -176,9 +154,9 @@ class Vocabulary:
                 ranks[after, best[after]] = self.pairs(ids[after, best[after]], ids[after, best[after] + 1])
         return out
 
-    def merge(self, word: bytes) -> list[int]:
-        """Ids of ``word`` by exact merging, with a heap: the lowest rank first, of equals the leftmost."""
-        ids, rank_of, made = [self.byte_ids[b] for b in word], self.ranks.get, self.made
+    def one(self, ids: list[int]) -> list[int]:
+        """Merges one list of ids, with a heap."""
+        rank_of, made = self.ranks.get, self.made
         none = len(made)
         n = len(ids)
         after, before = [*range(1, n), -1], [-1, *range(n - 1)]
@@ -198,6 +176,42 @@ class Vocabulary:
         return [x for x in ids if x >= 0]
 
 
+class Vocabulary:
+    """Merges, ids and bytes of a byte-level BPE file of the tokenizers library."""
+
+    def __init__(self, path: str):
+        import regex
+
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        model, alphabet = spec["model"], byte_alphabet()
+        if spec.get("normalizer") or model.get("byte_fallback") or model.get("ignore_merges") or model.get("dropout"):
+            raise ValueError("only plain byte-level BPE is supported")
+        ids = model["vocab"]
+        self.byte_ids = [0] * 256
+        for char, byte in alphabet.items():
+            self.byte_ids[byte] = ids[char]
+        self.byte_array = np.array(self.byte_ids, dtype=np.int64)
+        self.merges = Merges(model["merges"], ids)
+        self.added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+        size = max([*ids.values(), *self.added.values()]) + 1
+        self.bytes = [b""] * size
+        for token, i in ids.items():
+            self.bytes[i] = bytes(alphabet[c] for c in token) if all(c in alphabet for c in token) else token.encode("utf-8")
+        for token, i in self.added.items():
+            self.bytes[i] = token.encode("utf-8")
+        # Contractions, then letters, digits or other marks with a space before them, then white space.
+        self.words = regex.compile(r"'(?:[stmd]|re|ve|ll)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
+        marks = sorted(map(regex.escape, self.added), key=len, reverse=True)
+        self.special = regex.compile("(" + "|".join(marks) + ")") if marks else None
+
+    def merge_many(self, words: list[bytes]) -> list[bytes]:
+        return self.merges.many(words, self.byte_array.__getitem__)
+
+    def merge(self, word: bytes) -> list[int]:
+        return self.merges.one([self.byte_ids[b] for b in word])
+
+
 def compile_lexicon(entries: dict[bytes, list[int]]) -> bytes:
     """A minimal acyclic automaton over the words, with their ids, as the bytes of a file.
 

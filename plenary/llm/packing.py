@@ -13,6 +13,7 @@ so a length that a third of all pieces share is no single task's work.
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 import zlib
@@ -22,12 +23,12 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .bpe import Merges, byte_alphabet
 from .common import begin, documents, materialize, remembers, slices
 
 CAPACITY = 2048
-#: Chunks, and parts of chunks, that a worker remembers at most, and the most bytes of one.
-#: Together some 250 MB.
-MEMO_ENTRIES, MEMO_BYTES = 600_000, 48
+#: Chunks, in each of two generations, and words that a worker remembers at most, and the most bytes of one: some 150 MB.
+MEMO_ENTRIES, MEMO_BYTES = 300_000, 48
 #: Buckets over which ranks within a length are counted.
 BUCKETS = 1024
 
@@ -37,9 +38,9 @@ class ChunkIds:
 
     The tokenizer drops white space before anything spans it, so the ids of a
     text are those of its chunks between ASCII white space in a row. A chunk of
-    letters and closing punctuation is put together from those two, if the
-    letters are still letters only when normalised and in lower case; letters
-    not met before are encoded many at a time.
+    letters and closing punctuation is two words, if the letters are still
+    letters only when normalised and in lower case; words not met before are
+    merged many at a time. Any other chunk is left to the library.
     """
 
     PLAIN = re.compile(r"([^\W\d_]+)([.,;:!?#$%&*|-]*)")
@@ -50,44 +51,61 @@ class ChunkIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.chunks: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {"": b""}
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.words: dict[str, bytes | None] = {}  # None: not a word by itself
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        model, alphabet = spec["model"], byte_alphabet()
+        suffix = model.get("end_of_word_suffix") or ""
+        plain = not any(model.get(x) for x in ("dropout", "continuing_subword_prefix", "byte_fallback", "ignore_merges"))
+        if plain and [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"] and all(c + x in model["vocab"] for c in alphabet for x in ("", suffix)):
+            self.merges = Merges(model["merges"], model["vocab"])
+            self.inner, self.last = np.zeros(256, np.int64), np.zeros(256, np.int64)
+            for char, byte in alphabet.items():
+                self.inner[byte], self.last[byte] = model["vocab"][char], model["vocab"][char + suffix]
+        else:
+            self.merges = None
 
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def learn_parts(self, parts: list[str]) -> None:
-        if len(self.parts) > MEMO_ENTRIES:
-            self.parts = {"": b""}
-        for at in range(0, len(parts), 5000):
-            some = parts[at : at + 5000]
-            encoded = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            words, ids = np.array(encoded.word_ids, dtype=np.int64), np.array(encoded.ids, dtype="<u4")
-            if len(words) and words[-1] + 1 == len(some):
-                ends = np.searchsorted(words, np.arange(len(some)), side="right").tolist()
-                packed, start = ids.tobytes(), 0
-                for part, end in zip(some, ends, strict=True):
-                    self.parts[part] = packed[4 * start : 4 * end]
-                    start = end
-            else:  # some part is more than one word to the tokenizer
-                self.parts.update((part, self.encode(part)) for part in some)
-
-    def learn(self, chunks: set[bytes]) -> dict[bytes, bytes]:
-        """Ids of chunks that aren't remembered."""
-        found, plain, new = {}, [], set()
-        for chunk in chunks:
-            text = chunk.decode("utf-8")
-            if len(chunk) <= MEMO_BYTES and (m := self.PLAIN.fullmatch(text)) and (m[1].isascii() or unicodedata.normalize("NFC", m[1]).lower().isalpha()):
-                plain.append((chunk, m[1], m[2]))
-                new.update(m.groups())
+    def _start(self, letters: np.ndarray) -> np.ndarray:
+        ids = self.inner[letters]
+        ids[:, -1] = self.last[letters[:, -1]]
+        return ids
+
+    def learn_words(self, words: list[str]) -> None:
+        lowered: list[str | None] = []
+        for word in words:
+            if word.isascii():
+                lowered.append(word.lower())
             else:
-                found[chunk] = self.encode(text)
-        self.learn_parts([x for x in new if x not in self.parts])
-        parts = self.parts
-        if any(x not in parts for x in new):  # forgotten just now
-            self.learn_parts([x for x in new if x not in parts])
-            parts = self.parts
-        found.update((chunk, parts[a] + parts[b]) for chunk, a, b in plain)
+                low = unicodedata.normalize("NFC", word).lower()
+                # a sigma's lower case depends on its place
+                lowered.append(low if low.isalpha() and "Σ" not in word else None)
+        merged = iter(self.merges.many([w.encode("utf-8") for w in lowered if w is not None], self._start))
+        self.words.update((word, None if low is None else next(merged)) for word, low in zip(words, lowered, strict=True))
+
+    def learn(self, chunks: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of chunks that aren't remembered."""
+        if not chunks:
+            return {}
+        texts = b" ".join(chunks).decode("utf-8").split(" ")
+        if self.merges is None:
+            return {chunk: self.encode(text) for chunk, text in zip(chunks, texts, strict=True)}
+        split = [m and m.groups() for m in map(self.PLAIN.fullmatch, texts)]
+        needed = {word for words in split if words for word in words}
+        needed.discard("")
+        new = needed.difference(self.words)
+        if len(self.words) + len(new) > MEMO_ENTRIES:
+            self.words, new = {}, needed
+        self.learn_words(list(new))
+        words, found = self.words, {}
+        words[""] = b""
+        for chunk, text, both in zip(chunks, texts, split, strict=True):
+            first = words[both[0]] if both else None
+            found[chunk] = self.encode(text) if first is None else first + words[both[1]]
         return found
 
     def texts(self, texts: list[bytes | None], at_once: int = 2_000_000):
@@ -99,15 +117,18 @@ class ChunkIds:
                 size += len(texts[end] or b"")
                 end += 1
             split = [(text or b"").split() for text in texts[at:end]]
-            new = self.learn(set().union(*split).difference(self.chunks))
-            if len(self.chunks) > MEMO_ENTRIES:
-                self.chunks = {}
-                new |= self.learn(set().union(*split).difference(new))
-            self.chunks.update(new)
+            needed, young, old = set().union(*split), self.young, self.old
+            new = needed.difference(young)
+            for chunk in new.intersection(old):
+                young[chunk] = old[chunk]
+            new.difference_update(old)
+            young.update(self.learn(list(new)))
             for chunks in split:
-                yield b"".join(map(self.chunks.__getitem__, chunks))
+                yield b"".join(map(young.__getitem__, chunks))
             for chunk in [x for x in new if len(x) > MEMO_BYTES]:
-                del self.chunks[chunk]
+                del young[chunk]
+            if len(young) > MEMO_ENTRIES:
+                self.young, self.old = {}, young
             at = end
 
 

@@ -6,11 +6,10 @@ pairs sorted and named in turn, until one name is left of each document. Two
 documents have the same (number of blocks, name) exactly when their normalised
 texts are equal.
 
-Sorting is by (64-bit digest, content). The digest orders blocks over the
-cluster without a total sort of the texts; every distinct content is then
-counted per digest, and should one digest ever stand for two contents, the
-naming starts again with another seed. So names are free of collisions, which
-is checked over all blocks, and texts are shuffled once, after map-side
+Blocks are sorted by a 64-bit digest, over the cluster, without a total sort of
+the texts. The distinct contents of each digest are counted over all blocks; if
+a digest ever stands for two contents, the naming starts again with another
+seed, so names are free of collisions. Texts are shuffled once, after map-side
 combining of equal blocks: a block that fills a third of the corpus costs a row
 a task.
 """
@@ -21,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import ASCII_SPACE, documents, materialize
+from .common import ASCII_SPACE, Scratch, documents
 
 BLOCK_CHARS = 4096
 
@@ -45,17 +44,18 @@ def _named(keys: DataFrame, columns: list[str], bucket: Column) -> DataFrame:
     )
 
 
-def identities(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", block_chars: int = BLOCK_CHARS, digest=_digest, max_seeds: int = 8) -> DataFrame:
+def identities(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", block_chars: int = BLOCK_CHARS, digest=_digest, max_seeds: int = 8, tables: Scratch | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_chars, text_sha256, n_blocks, name.
 
     Equal (n_blocks, name) means equal normalised text. Null or empty texts have
     no blocks and name 0. Repeated ids stay separate rows.
     """
+    tables = tables or Scratch(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     texts = docs.select(F.col(id_col).alias("doc_id"), F.length(text).cast("long").alias("n_chars"), normalised(F.col(text_col)).alias("norm"))
     blocks = F.regexp_extract_all("norm", F.lit(f"(?s).{{1,{block_chars}}}"), F.lit(0))
     for seed in range(max_seeds):
-        base = materialize(
+        base = tables.write(
             texts.select(
                 F.monotonically_increasing_id().alias("row"),
                 "doc_id",
@@ -66,17 +66,19 @@ def identities(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
             "dedup-base",
         )
         distinct = texts.select(F.explode(blocks).alias("block")).select(digest(F.col("block"), seed).alias("digest"), "block").distinct()
-        contents = materialize(distinct.groupBy("digest").agg(F.count(F.lit(1)).alias("contents")), "dedup-contents")
+        contents = tables.write(distinct.groupBy("digest").agg(F.count(F.lit(1)).alias("contents")), "dedup-contents")
         if not contents.where("contents > 1").head(1):
             break
+        tables.drop("dedup-base", "dedup-contents")
     else:
         raise ValueError(f"no seed of {max_seeds} tells all blocks apart")
 
     names = _named(contents.select("digest"), ["digest"], F.col("digest"))
-    level = materialize(
+    level = tables.write(
         base.select("row", F.posexplode("digests").alias("pos", "digest"), F.size("digests").alias("left")).join(names, "digest").select("row", F.col("pos").cast("long"), "left", "name"),
         "dedup-level",
     )
+    tables.drop("dedup-contents")
     finished = level.where("left = 1").select("row", "name")
     widest = level.agg(F.max("left")).first()[0] or 0
     level = level.where("left > 1")
@@ -87,7 +89,7 @@ def identities(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
             F.coalesce(F.max(F.when(F.col("pos") % 2 == 1, F.col("name"))), F.lit(-1)).alias("b"),
         )
         names = _named(pairs.select("a", "b").distinct(), ["a", "b"], F.xxhash64("a", "b"))
-        level = materialize(pairs.join(names, ["a", "b"]).select("row", "pos", "left", "name"), "dedup-level")
+        level = tables.write(pairs.join(names, ["a", "b"]).select("row", "pos", "left", "name"), "dedup-level")
         finished = finished.unionByName(level.where("left = 1").select("row", "name"))
         level = level.where("left > 1")
         widest = (widest + 1) // 2
@@ -100,9 +102,14 @@ def exact_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     Returns one row per row of ``docs``: doc_id, keep_id, group_size, kept,
     text_sha256. Null texts count as empty and form one group with the empty
     ones. A null id stays only where the longest texts of its group have no
-    other id. Rows that repeat an id within a group share its decision.
+    other id. Rows that repeat an id within a group share its decision. Texts
+    are read whole, however long; an empty table gives an empty one; only the
+    two named columns are read.
     """
-    ids = materialize(identities(docs, text_col, id_col, block_chars), "dedup-ids")
+    tables = Scratch(docs.sparkSession)
+    with tables:
+        ids = tables.write(identities(docs, text_col, id_col, block_chars, tables=tables), "dedup-ids")
+        tables.drop("dedup-base", "dedup-level")
     # The smallest id is the largest negated one; of structs, max takes the first field first.
     best = ids.groupBy("n_blocks", "name").agg(F.max(F.struct("n_chars", (-F.col("doc_id")).alias("neg"))).alias("best"), F.count(F.lit(1)).alias("group_size"))
     return (

@@ -13,8 +13,8 @@ first, shingles whose hash falls below ``ZONE`` of the hash space come first, by
 how many classes hold them, the others after, by hash; the zone nearly always
 covers a prefix, so only its shingles are counted, and where it falls short the
 rest of the prefix is sent along. It leaves the documents whose prefixes meet
-another's, a small part. Whole sets of these alone are ordered by counts in the
-second pass, which makes groups and pairs.
+another's, a small part. Whole sets of these alone are ordered in the second
+pass, with a wider zone, ``WIDE``, which makes groups and pairs.
 
 For components, links between documents that are connected already are left
 out. In ``STARS`` rounds, the groups of each shingle are paired with one
@@ -39,7 +39,7 @@ from .common import Scratch, begin, documents, remembers, slices
 from .components import components
 
 WORDS, PERCENT = 4, 85
-ZONE = 0.2
+ZONE, WIDE = 0.2, 0.5
 STARS = 2
 #: Shingles of members of a component that are compared at once when links are counted.
 BLOCK = 200_000
@@ -95,9 +95,14 @@ def _prefix(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def _cut(zone: float) -> int:
+    """Hashes below this are in the zone."""
+    return int(zone * 2**64) - (1 << 63)
+
+
 def signatures(docs: DataFrame, words: int, percent: int, text_col: str, id_col: str) -> DataFrame:
     """doc_id, n, signature of the set, zone (how many shingles in the zone) and tokens: these, or the prefix if it is longer."""
-    cut = int(ZONE * 2**64) - (1 << 63)
+    cut = _cut(ZONE)
 
     def run(batches):
         import pyarrow as pa
@@ -205,12 +210,14 @@ def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
     the set has alone: they come first and match nothing. prefix is an array of
     (pos, token), pos being the place in the order, from 1.
     """
-    tokens = sets.select("id", "n", "zone", F.posexplode("tokens").alias("at", "token"))
+    # inside the zone places come from counts; -1 stands there for all of them
+    tokens = sets.select("id", "zone", F.posexplode("tokens").alias("at", "token")).select("id", F.when(F.col("at") < F.col("zone"), -1).otherwise(F.col("at") + 1).alias("pos"), "token")
     shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    held = tokens.join(shared, "token").groupBy("id", "n", "zone").agg(
-        F.array_sort(F.collect_list(F.when(F.col("at") < F.col("zone"), F.struct("df", "token")))).alias("inside"),
-        F.array_sort(F.collect_list(F.when(F.col("at") >= F.col("zone"), F.struct((F.col("at") + 1).alias("pos"), "token")))).alias("outside"),
+    held = tokens.join(shared, "token").groupBy("id").agg(
+        F.array_sort(F.collect_list(F.when(F.col("pos") < 0, F.struct("df", "token")))).alias("inside"),
+        F.array_sort(F.collect_list(F.when(F.col("pos") > 0, F.struct("pos", "token")))).alias("outside"),
     )
+    held = held.join(sets.select("id", "n", "zone"), "id")
     size = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100).cast("int") + 1
     inside = F.transform("inside", lambda s, i: F.struct((F.col("own") + i + 1).alias("pos"), s["token"].alias("token")))
     taken = F.slice(inside, F.lit(1), F.greatest(F.lit(0), size - F.col("own")))
@@ -316,8 +323,10 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
         wanted = tables.write(classes.join(active, "id"), "wanted")
         tables.drop("near")
         sets = tables.write(_sets(docs, wanted, words, text_col, id_col), "sets")
-        # among them, an order of all shingles by how many sets hold them
-        prefixes = tables.write(_prefixes(sets.select("id", F.size("tokens").alias("n"), F.size("tokens").alias("zone"), "tokens"), percent), "prefixes")
+        # among them, an order by how many of these sets hold a shingle
+        sized = sets.select("id", F.size("tokens").alias("n"), F.size(F.filter("tokens", lambda t: t < _cut(WIDE))).alias("zone"), "tokens")
+        needed = F.greatest(F.col("zone"), F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100).cast("int") + 1)
+        prefixes = tables.write(_prefixes(sized.withColumn("tokens", F.slice("tokens", F.lit(1), needed)), percent), "prefixes")
         tables.drop("wanted")
         groups = tables.write(prefixes.groupBy("n", "prefix").agg(F.min(F.struct("own", "id")).alias("least")).select("n", "prefix", "least.own", F.col("least.id").alias("gid")), "groups")
         members = tables.write(prefixes.select("id", "n", "own", "prefix").join(groups.select("n", "prefix", "gid"), ["n", "prefix"]).select("id", "gid", "n", "own"), "members")

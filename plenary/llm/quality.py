@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import begin, documents, held_out, materialize, one_per_key, remembers, slices, smallest_hashes
+from .common import Scratch, begin, documents, held_out, one_per_key, remembers, slices, smallest_hashes
 
 #: Labelled rows that a model is fitted on at most (those of smallest hashed id).
 TRAIN_ROWS = 12_000
@@ -160,12 +160,14 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, text_c
                 names=["i", "at", "x", "y"],
             )
 
-    got = materialize(rows.mapInArrow(pack, "i long, at binary, x binary, y double"), "quality-train").orderBy("i", "at", "x").toLocalIterator()
+    tables = Scratch(docs.sparkSession)
+    got = tables.write(rows.mapInArrow(pack, "i long, at binary, x binary, y double"), "quality-train").orderBy("i", "at", "x").toLocalIterator()
     index, values, y = [], [], []
     for r in got:
         index.append(np.frombuffer(r["at"], np.uint16))
         values.append(np.frombuffer(r["x"], np.float16))
         y.append(r["y"])
+    tables.drop("quality-train")
     x = np.zeros((len(y), WIDTH), dtype=np.float32)
     for row, at, value in zip(x, index, values, strict=True):
         row[at] = value

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import begin, documents, held_out, materialize, one_per_key, slices, smallest_hashes
+from .common import Scratch, begin, documents, held_out, one_per_key, slices, smallest_hashes
 
 #: Labelled rows that a model is fitted on at most (those of smallest hashed id).
 TRAIN_ROWS = 20_000
@@ -187,7 +187,14 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, text_c
     labels = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
     chosen = smallest_hashes(labels, id_col, train_rows).groupBy(id_col).agg((F.max(label_col) > 0).alias("toxic_label"))
     rows = one_per_key(docs.select(id_col, F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), id_col), id_col)
-    rows = materialize(rows.select("text", F.col("toxic_label").cast("int").alias("y")), "toxicity-train")
+    with Scratch(docs.sparkSession) as tables:
+        grammar = _learned(tables.write(rows.select("text", F.col("toxic_label").cast("int").alias("y")), "toxicity-train"))
+        tables.drop("toxicity-train")
+    return grammar
+
+
+def _learned(rows: DataFrame) -> Grammar:
+    """The grammar that labelled ``rows`` (text, y) teach."""
 
     def contexts(batches):
         import pyarrow as pa

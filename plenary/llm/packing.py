@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import json
 import re
-import unicodedata
 import zlib
 from collections import defaultdict
 
@@ -27,8 +26,8 @@ from .bpe import Merges, byte_alphabet
 from .common import begin, documents, materialize, remembers, slices
 
 CAPACITY = 2048
-#: Chunks, in each of two generations, and words that a worker remembers at most, and the most bytes of one: some 150 MB.
-MEMO_ENTRIES, MEMO_BYTES = 300_000, 48
+#: Chunks, in each of two generations, and words that a worker remembers at most, and the most bytes of one: some 60 MB.
+MEMO_ENTRIES, MEMO_BYTES = 100_000, 48
 #: Buckets over which ranks within a length are counted.
 BUCKETS = 1024
 
@@ -37,13 +36,14 @@ class ChunkIds:
     """Ids of texts, as little-endian 32-bit bytes, by way of remembered chunks.
 
     The tokenizer drops white space before anything spans it, so the ids of a
-    text are those of its chunks between ASCII white space in a row. A chunk of
-    letters and closing punctuation is two words, if the letters are still
-    letters only when normalised and in lower case; words not met before are
-    merged many at a time. Any other chunk is left to the library.
+    text are those of its chunks between ASCII white space in a row. New chunks
+    of ASCII and composed Latin letters, which normalising leaves as they are
+    and lower case leaves as long, are cut into words together, and words not
+    met before are merged many at a time. Any other chunk is left to the library.
     """
 
-    PLAIN = re.compile(r"([^\W\d_]+)([.,;:!?#$%&*|-]*)")
+    #: What the library is asked about: other characters, and the beginning of a special token.
+    OTHER = re.compile(r"[^ !-~À-ÖØ-öø-įı-ɏ]|<\|")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -53,13 +53,17 @@ class ChunkIds:
         self.tokenizer.no_padding()
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
-        self.words: dict[str, bytes | None] = {}  # None: not a word by itself
+        self.words: dict[str, bytes] = {}
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, alphabet = spec["model"], byte_alphabet()
         suffix = model.get("end_of_word_suffix") or ""
-        plain = not any(model.get(x) for x in ("dropout", "continuing_subword_prefix", "byte_fallback", "ignore_merges"))
+        split = [x for x in (spec["pre_tokenizer"] or {}).get("pretokenizers", []) if x["type"] == "Split" and x["invert"] and x["behavior"] == "Removed"]
+        plain = len(split) == 1 and not any(model.get(x) for x in ("dropout", "continuing_subword_prefix", "byte_fallback", "ignore_merges"))
         if plain and [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"] and all(c + x in model["vocab"] for c in alphabet for x in ("", suffix)):
+            import regex
+
+            self.cut = regex.compile(split[0]["pattern"]["Regex"]).findall
             self.merges = Merges(model["merges"], model["vocab"])
             self.inner, self.last = np.zeros(256, np.int64), np.zeros(256, np.int64)
             for char, byte in alphabet.items():
@@ -75,40 +79,37 @@ class ChunkIds:
         ids[:, -1] = self.last[letters[:, -1]]
         return ids
 
-    def learn_words(self, words: list[str]) -> None:
-        lowered: list[str | None] = []
-        for word in words:
-            if word.isascii():
-                lowered.append(word.lower())
-            else:
-                low = unicodedata.normalize("NFC", word).lower()
-                # a sigma's lower case depends on its place
-                lowered.append(low if low.isalpha() and "Σ" not in word else None)
-        merged = iter(self.merges.many([w.encode("utf-8") for w in lowered if w is not None], self._start))
-        self.words.update((word, None if low is None else next(merged)) for word, low in zip(words, lowered, strict=True))
-
     def learn(self, chunks: list[bytes]) -> dict[bytes, bytes]:
         """Ids of chunks that aren't remembered."""
         if not chunks:
             return {}
-        texts = b" ".join(chunks).decode("utf-8").split(" ")
-        if self.merges is None:
-            return {chunk: self.encode(text) for chunk, text in zip(chunks, texts, strict=True)}
-        split = [m and m.groups() for m in map(self.PLAIN.fullmatch, texts)]
-        needed = {word for words in split if words for word in words}
-        needed.discard("")
-        new = needed.difference(self.words)
+        joined, found = b" ".join(chunks).decode("utf-8"), {}
+        if self.merges is None or self.OTHER.search(joined):
+            kept, texts = [], []
+            for chunk, text in zip(chunks, joined.split(" "), strict=True):
+                if self.merges is None or self.OTHER.search(text):
+                    found[chunk] = self.encode(text)
+                else:
+                    kept.append(chunk)
+                    texts.append(text)
+            chunks, joined = kept, " ".join(texts)
+        if not chunks:
+            return found
+        words = self.cut(joined.lower())
+        new = list(set(words).difference(self.words))
         if len(self.words) + len(new) > MEMO_ENTRIES:
-            self.words, new = {}, needed
-        self.learn_words(list(new))
-        words, found = self.words, {}
-        words[""] = b""
-        for chunk, text, both in zip(chunks, texts, split, strict=True):
-            first = words[both[0]] if both else None
-            found[chunk] = self.encode(text) if first is None else first + words[both[1]]
+            self.words, new = {}, list(set(words))
+        self.words.update(zip(new, self.merges.many([w.encode("utf-8") for w in new], self._start), strict=True))
+        # chunks end where so many characters of words have gone by
+        ids = list(map(self.words.__getitem__, words))
+        texts = joined.split(" ")
+        last = np.searchsorted(np.cumsum(np.fromiter(map(len, words), np.int64, len(words))), np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts))))
+        ends = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))[last].tolist()
+        flat = b"".join(ids)
+        found.update((chunk, flat[a:b]) for chunk, a, b in zip(chunks, [0, *ends], ends, strict=False))
         return found
 
-    def texts(self, texts: list[bytes | None], at_once: int = 2_000_000):
+    def texts(self, texts: list[bytes | None], at_once: int = 6_000_000):
         """Ids of each text in turn; chunks are held for ``at_once`` bytes of text."""
         at = 0
         while at < len(texts):

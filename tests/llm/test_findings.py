@@ -224,7 +224,7 @@ def test_packing_of_letters_that_change_in_lower_case():
     from plenary.llm import packing
 
     rng, tokenizer, memo = random.Random(6), Tokenizer.from_file(packing.tokenizer_path()), packing.ChunkIds(packing.tokenizer_path())
-    parts = ["a", "the", "İ", "é", "e\u0301", "²", "ß", "Σ", "ς", "1", ".", ",", "!?", "'s", " ", "\n", "ﬁ", "Ⅷ", "ª", "한", "\u1112\u1161\u11ab", "क", "\u0301"]
+    parts = ["a", "the", "İ", "é", "e\u0301", "²", "ß", "Σ", "ς", "1", ".", ",", "!?", "'s", " ", "\n", "ﬁ", "Ⅷ", "ª", "한", "\u1112\u1161\u11ab", "क", "\u0301", "<|endoftext|>", "<|", "\xa0", "\x85", "×", "Ü", "Ŋ", "ŉ", "ǅ", "'S", "'ll", "42", "$", "\x1c", "\x00", "ſ", "K"]
     texts = ["theİ.", *("".join(rng.choice(parts) for _ in range(rng.randrange(1, 9))) for _ in range(4000))]
     got = list(memo.texts([t.encode() for t in texts]))
     assert got == [memo.encode(t) for t in texts] and got[0] == memo.encode("theİ.") and len(got[0]) == 4 * len(tokenizer.encode("theİ.", add_special_tokens=False).ids)

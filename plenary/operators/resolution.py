@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,9 +23,16 @@ def components(edges: DataFrame, nodes: DataFrame, rounds: int = 25, save=None)
     """id and component (smallest id reachable) of ``nodes`` (id), by hooking to neighbours' minima and pointer jumping.
 
     Edges are (a, b). ``save`` cuts the lineage after a round; by default a
-    reliable checkpoint, which needs spark.checkpoint.dir.
+    reliable checkpoint in the folder of spark.checkpoint.dir. A local master
+    without that setting gets a folder of its own.
     """
     save = save or (lambda df: df.checkpoint())
+    context = nodes.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        shared = nodes.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if shared is None and context.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the cluster shares")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="plenary-checkpoints-"))
     both = save(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     label = save(nodes.select(F.col("id"), F.col("id").alias("component")))
     for _ in range(rounds):

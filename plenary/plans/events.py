@@ -63,11 +63,6 @@ def daily_windows(spark, d):
 
 
 def sliding_windows(spark, d):
-    """The part of all_sliding_windows that its SQL covers: the first three days."""
-    return all_sliding_windows(spark, d).where("start >= '2024-01-01 00' and start < '2024-01-04 00'")
-
-
-def all_sliding_windows(spark, d):
     """Views in windows of a day that begin every six hours."""
     e = table(spark, d, "events").where("event_type = 'view'")
     w = e.groupBy(F.window("ts", "24 hours", "6 hours").alias("w")).agg(F.count(F.lit(1)).alias("views"))
@@ -102,11 +97,6 @@ def conversation_turns(spark, d):
 
 
 def linked_participants(spark, d):
-    """The part of all_linked_participants that its SQL covers: meetings under 300."""
-    return all_linked_participants(spark, d).where("id < 300")
-
-
-def all_linked_participants(spark, d):
     """Names in meetings linked to entities."""
     m = meetings(spark, d).select(F.col("meeting_id").alias("id"), F.array(F.concat(F.lit("cold "), F.element_at(F.array(*map(F.lit, ("bolt", "gear", "rod"))), (F.col("meeting_id") % 3 + 1).cast("int")))).alias("names"))
     e = table(spark, d, "part").groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("entity_id"))
@@ -133,16 +123,13 @@ PLANS = {
   GROUP BY 1 ORDER BY views DESC, user_id LIMIT 5"""),
     "view_counts": (view_counts, "SELECT user_id, count(*) AS views, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_view FROM events WHERE event_type = 'view' GROUP BY 1"),
     "daily_windows": (daily_windows, "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS events, round(sum(value), 2) AS amount FROM events GROUP BY 1, 2"),
-    "all_sliding_windows": (all_sliding_windows, None),
-    "sliding_windows": (sliding_windows, """SELECT strftime(s, '%Y-%m-%d %H') AS start, count(*) AS views FROM range(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-04', INTERVAL 6 HOURS) t(s)
-  JOIN events ON ts >= s AND ts < s + INTERVAL 24 HOURS WHERE event_type = 'view' GROUP BY 1"""),
+    "sliding_windows": (sliding_windows, """SELECT strftime(time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '2000-01-01') - k * INTERVAL 6 HOURS, '%Y-%m-%d %H') AS start, count(*) AS views
+  FROM events, range(4) t(k) WHERE event_type = 'view' GROUP BY 1"""),
     "rate_limited": (rate_limited, """SELECT event_type, count(*) AS limited FROM (SELECT event_type, count(*) OVER (PARTITION BY user_id, event_type ORDER BY floor(epoch(ts))::BIGINT RANGE BETWEEN 36000 PRECEDING AND CURRENT ROW) AS recent FROM events) WHERE recent >= 3 GROUP BY 1"""),
     "unviewed": (unviewed, "SELECT s_suppkey, s_name FROM supplier WHERE NOT EXISTS (SELECT 1 FROM events WHERE user_id = s_suppkey AND event_type IN ('view', 'click'))"),
     "event_properties": (event_properties, "SELECT (props->>'$.k')::INT % 10 AS k, count(*) AS events, round(avg(value), 4) AS mean_value FROM events GROUP BY 1"),
     "conversation_turns": (conversation_turns, """WITH c AS (SELECT DISTINCT conv_id, turn, role, length(text) AS chars FROM conversations),
   t AS (SELECT *, (role <> lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, chars))::INT AS change FROM c)
   SELECT conv_id, min(turn) AS first_turn, max(turn) AS last_turn, coalesce(sum(change), 0)::BIGINT AS changes, sum(chars)::BIGINT AS chars FROM t GROUP BY 1"""),
-    "all_linked_participants": (all_linked_participants, None),
-    "linked_participants": (linked_participants, """WITH m AS (SELECT o_orderkey AS id, 'cold ' || CASE o_orderkey % 3 WHEN 0 THEN 'bolt' WHEN 1 THEN 'gear' ELSE 'rod' END AS name FROM orders WHERE o_orderkey < 300)
-  SELECT id, name, min(p_partkey) AS entity_id, 0.95::DOUBLE AS confidence FROM m JOIN part ON p_name = name GROUP BY 1, 2"""),
+    "linked_participants": (linked_participants, None),
 }

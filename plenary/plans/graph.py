@@ -49,11 +49,7 @@ def entity_timeline(spark, d):
 
 
 def entity_by_jurisdiction(spark, d):
-    """The part of all_entities_by_jurisdiction that its SQL covers: ids under 200."""
-    return all_entities_by_jurisdiction(spark, d).where("id < 200")
-
-
-def all_entities_by_jurisdiction(spark, d):
+    """Mentions of every entity by jurisdiction."""
     lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("meeting_id"), F.col("l_partkey").alias("id"))
     return lines.join(meetings(spark, d).select("meeting_id", "jurisdiction_id"), "meeting_id").groupBy("id", "jurisdiction_id").agg(F.count(F.lit(1)).alias("mentions"), F.count_distinct("meeting_id").alias("meetings"))
 
@@ -97,11 +93,6 @@ def vocabulary_audit(spark, d):
 
 
 def type_conflicts(spark, d):
-    """The part of all_type_conflicts that its SQL covers: ids under 400."""
-    return all_type_conflicts(spark, d).where("id < 400 and other_id < 400")
-
-
-def all_type_conflicts(spark, d):
     """Entities of one name and different kinds; the winner by kind, unless the other has far more mentions."""
     e = entities(spark, d)
     o = e.select(F.col("id").alias("other_id"), "name", F.col("kind").alias("other_kind"), F.col("mentions").alias("other_mentions"))
@@ -122,17 +113,17 @@ def similar_names(spark, d):
     return pairs.select(F.col("id").alias("name"), F.col("other_id").alias("other"), F.round(name_similarity(F.col("id"), F.col("other_id")), 4).alias("similarity")).where("similarity > 0.3")
 
 
-def merge_plan(spark, d):
-    """Entities merged into the most mentioned one of exactly the same name, with summed mentions: the step that its SQL covers."""
+def equal_name_merges(spark, d):
+    """Entities merged into the most mentioned one of exactly the same name, with summed mentions."""
     e = entities(spark, d)
     return _merged(e, e.select("id", F.min("id").over(Window.partitionBy("name")).alias("component")))
 
 
-def similar_merge_plan(spark, d):
+def merge_plan(spark, d):
     """Entities merged into the most mentioned one of a component of similar names, with summed mentions."""
     e = entities(spark, d)
     names = e.where("name is not null").select(F.col("name").alias("id")).distinct()
-    label = components(_alike(names), names, save=_save(spark))
+    label = components(_alike(names), names)
     return _merged(e, e.join(label.select(F.col("id").alias("name"), "component"), "name", "left").select("id", F.coalesce("component", F.concat(F.lit("\0"), F.col("id").cast("string"))).alias("component")))
 
 
@@ -151,12 +142,6 @@ def _alike(names):
     return shared.union(inside).distinct().where(name_similarity(F.col("a"), F.col("b")) >= 0.85)
 
 
-def _save(spark):
-    """How rounds are cut: a reliable checkpoint; only a local master may do without its folder."""
-    local = spark.sparkContext.master.partition("[")[0] == "local"
-    return (lambda df: df.localCheckpoint()) if local and not spark.conf.get("spark.checkpoint.dir", None) else None
-
-
 def _merged(e, label):
     s = survivors(e, label, "mentions")
     return e.join(s, "id").groupBy("survivor").agg(F.count(F.lit(1)).alias("merged"), F.sum("mentions").alias("mentions"), F.count_if(F.col("id") != F.col("survivor")).alias("victims"))
@@ -174,12 +159,6 @@ def integrity_invariants(spark, d):
 
 
 def supporting_edges(spark, d):
-    """Of each body, the members who were present at all its meetings of the three days that its SQL covers."""
-    held = meetings(spark, d).where(F.col("meeting_date").between("1997-05-01", "1997-05-03"))
-    return _always_present(spark, d, held.select("meeting_id", "body"), ["body"])
-
-
-def monthly_supporting_edges(spark, d):
     """Of each body and month, the members who were present at all its meetings of the month."""
     held = meetings(spark, d).select("meeting_id", "body", F.left("meeting_date", F.lit(7)).alias("month"))
     return _always_present(spark, d, held, ["body", "month"])
@@ -217,7 +196,7 @@ PLANS = {
     "entity_timeline": (entity_timeline, with_views("meetings") + """SELECT meeting_id, meeting_date, body, l_linenumber FROM (SELECT DISTINCT ON (l_orderkey) l_orderkey, l_linenumber FROM lineitem WHERE l_partkey = 7
   ORDER BY l_orderkey, l_linenumber, l_suppkey, l_extendedprice) JOIN meetings ON meeting_id = l_orderkey ORDER BY meeting_date DESC, meeting_id LIMIT 100"""),
     "entity_by_jurisdiction": (entity_by_jurisdiction, with_views("meetings") + """SELECT l_partkey AS id, jurisdiction_id, count(*) AS mentions, count(DISTINCT meeting_id) AS meetings
-  FROM lineitem JOIN meetings ON meeting_id = l_orderkey WHERE l_partkey < 200 GROUP BY 1, 2"""),
+  FROM lineitem JOIN meetings ON meeting_id = l_orderkey GROUP BY 1, 2"""),
     "relations_both_ways": (relations_both_ways, with_views("attendance", "meetings", more="""s AS (SELECT meeting_id, member_id FROM attendance JOIN meetings USING (meeting_id) WHERE meeting_date = '1997-05-05')""")
   + "SELECT DISTINCT a.member_id, b.member_id AS other_id FROM s a JOIN s b USING (meeting_id) WHERE a.member_id <> b.member_id"),
     "graph_edges": (graph_edges, with_views("attendance", "meetings", more=_G) + "SELECT * FROM edges"),
@@ -229,24 +208,21 @@ PLANS = {
     "vocabulary_audit": (vocabulary_audit, """SELECT o_orderpriority AS value, count(*) AS rows, CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH', '3-MEDIUM') THEN 'canonical'
   WHEN o_orderpriority = '5-LOW' THEN 'compatible' ELSE 'unmapped' END AS class FROM orders GROUP BY 1"""),
     "type_conflicts": (type_conflicts, _ENT + """SELECT a.name, a.id, b.id AS other_id, CASE WHEN (a.mentions <= 2 AND b.mentions > 3 * a.mentions) OR b.kind < a.kind THEN b.id ELSE a.id END AS winner
-  FROM entities a JOIN entities b ON a.name = b.name AND a.id < b.id AND a.kind <> b.kind WHERE a.id < 400 AND b.id < 400"""),
-    "all_entities_by_jurisdiction": (all_entities_by_jurisdiction, None),
-    "all_type_conflicts": (all_type_conflicts, None),
+  FROM entities a JOIN entities b ON a.name = b.name AND a.id < b.id AND a.kind <> b.kind"""),
     "duplicate_names": (duplicate_names, _ENT + "SELECT lower(name) AS name, count(*) AS entities, sum(mentions)::BIGINT AS mentions, min(id) AS keeper, count(*) - 1 AS excess FROM entities GROUP BY 1 HAVING count(*) > 1"),
     "similar_names": (similar_names, """WITH n AS (SELECT DISTINCT p_name AS name, list_distinct(string_split_regex(lower(p_name), '[^a-z0-9]+')) AS t FROM part),
   s AS (SELECT a.name, b.name AS other, len(list_intersect(a.t, b.t)) AS i, len(list_distinct(a.t || b.t)) AS u FROM n a JOIN n b ON a.name < b.name)
   SELECT name, other, round(greatest(i / u, CASE WHEN contains(name, other) OR contains(other, name) THEN 0.85 ELSE 0 END), 4)::DOUBLE AS similarity FROM s WHERE i > 0 AND i / u > 0.3"""),
-    "merge_plan": (merge_plan, _ENT + """SELECT survivor, count(*) AS merged, sum(mentions)::BIGINT AS mentions, count(*) FILTER (id <> survivor) AS victims
+    "equal_name_merges": (equal_name_merges, _ENT + """SELECT survivor, count(*) AS merged, sum(mentions)::BIGINT AS mentions, count(*) FILTER (id <> survivor) AS victims
   FROM (SELECT *, first_value(id) OVER (PARTITION BY name ORDER BY mentions DESC, id) AS survivor FROM entities) GROUP BY 1"""),
-    "similar_merge_plan": (similar_merge_plan, None),
+    "merge_plan": (merge_plan, None),
     "integrity_invariants": (integrity_invariants, """SELECT 'repeated_items' AS invariant, coalesce(sum(n), 0)::BIGINT AS rows FROM (SELECT count(*) - 1 AS n FROM lineitem GROUP BY l_orderkey, l_linenumber)
   UNION ALL SELECT 'meetings_without_items', count(*) FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)
   UNION ALL SELECT 'unknown_entities', count(*) FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM part WHERE l_partkey = p_partkey)
   UNION ALL SELECT 'unlabelled_documents', count(*) FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)"""),
-    "supporting_edges": (supporting_edges, with_views("attendance", "meetings", more="""held AS (SELECT meeting_id, body FROM meetings WHERE meeting_date BETWEEN '1997-05-01' AND '1997-05-03')""")
-  + """SELECT body, member_id, need FROM (SELECT body, member_id, count(*) AS has FROM held JOIN attendance USING (meeting_id) WHERE present GROUP BY 1, 2)
-  JOIN (SELECT body, count(*) AS need FROM held GROUP BY 1) USING (body) WHERE has = need"""),
-    "monthly_supporting_edges": (monthly_supporting_edges, None),
+    "supporting_edges": (supporting_edges, with_views("attendance", "meetings", more="""held AS (SELECT meeting_id, body, left(meeting_date, 7) AS month FROM meetings)""")
+  + """SELECT body, month, member_id, need FROM (SELECT body, month, member_id, count(*) AS has FROM held JOIN attendance USING (meeting_id) WHERE present GROUP BY 1, 2, 3)
+  JOIN (SELECT body, month, count(*) AS need FROM held GROUP BY 1, 2) USING (body, month) WHERE has = need"""),
     "polymorphic_documents": (polymorphic_documents, """SELECT 'document' AS source_type, lang AS about, count(*) AS labels FROM labels JOIN documents USING (doc_id) WHERE doc_id % 2 = 0 GROUP BY 2
   UNION ALL SELECT 'conversation', role, count(*) FROM labels JOIN (SELECT DISTINCT conv_id, role FROM conversations) ON conv_id = doc_id WHERE doc_id % 2 <> 0 GROUP BY 2"""),
 }

@@ -98,8 +98,9 @@ def embedding_screen(spark, d):
 
 
 def mean_vectors(spark, d):
-    """Mean of each of the first four components by label."""
-    return table(spark, d, "embeddings").groupBy("label").agg(F.count(F.lit(1)).alias("vectors"), *(F.round(F.avg(F.col("embedding")[i].cast("double")), 5).alias(f"m{i}") for i in range(4)))
+    """Mean of every component by label, a row each."""
+    parts = table(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("component", "value"))
+    return parts.groupBy("label", "component").agg(F.count(F.lit(1)).alias("vectors"), F.round(F.avg(F.col("value").cast("double")), 5).alias("mean"))
 
 
 def medians(spark, d):
@@ -134,7 +135,8 @@ PLANS = {
     "selection_digest": (selection_digest, "SELECT lang, sha256('[' || string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) || ']') AS digest, count(*) AS documents FROM documents GROUP BY 1"),
     "embedding_screen": (embedding_screen, """SELECT vec_id, label, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 5) AS cosine
   FROM embeddings ORDER BY cosine DESC, vec_id LIMIT 100"""),
-    "mean_vectors": (mean_vectors, "SELECT label, count(*) AS vectors, " + ", ".join(f"round(avg(embedding[{i + 1}]::DOUBLE), 5) AS m{i}" for i in range(4)) + " FROM embeddings GROUP BY 1"),
+    "mean_vectors": (mean_vectors, """SELECT label, component::INT AS component, count(*) AS vectors, round(avg(value::DOUBLE), 5) AS mean
+  FROM (SELECT label, unnest(embedding) AS value, generate_subscripts(embedding, 1) - 1 AS component FROM embeddings) GROUP BY 1, 2"""),
     "medians": (medians, "SELECT source, round(median(n_chars), 2) AS median_chars, max(n_chars) AS longest FROM documents GROUP BY 1"),
     "story_scores": (story_scores, """SELECT o_orderkey, (CASE WHEN o_totalprice > 400000 THEN 30 WHEN o_totalprice > 200000 THEN 15 ELSE 0 END + CASE WHEN o_orderpriority LIKE '1%' THEN 20 ELSE 0 END
   + 5 * least(opposed, 4) + least(items, 5))::BIGINT AS score, o_totalprice FROM orders JOIN (SELECT l_orderkey, count(*) AS items, count(*) FILTER (l_returnflag = 'R') AS opposed FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey

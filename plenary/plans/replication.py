@@ -36,12 +36,6 @@ def reconciled(spark, d):
 
 
 def unique_conflicts(spark, d):
-    """What all_unique_conflicts finds between the parts that its SQL covers: those under 300 against 300 to 600."""
-    part = _coded(spark, d)
-    return _conflicts(part.where("p_partkey < 300"), part.where("p_partkey between 300 and 600"))
-
-
-def all_unique_conflicts(spark, d):
     """Parts whose code belongs to another part already, which is the first of all with that code."""
     part = _coded(spark, d)
     return _conflicts(part, part)
@@ -188,8 +182,7 @@ PLANS = {
     "reconciled": (reconciled, _W + """SELECT o_orderkey, 'delete' AS action FROM target t WHERE NOT EXISTS (SELECT 1 FROM source s WHERE s.o_orderkey = t.o_orderkey)
   UNION ALL SELECT o_orderkey, 'insert' FROM source s WHERE NOT EXISTS (SELECT 1 FROM target t WHERE s.o_orderkey = t.o_orderkey)"""),
     "unique_conflicts": (unique_conflicts, """WITH p AS (SELECT p_partkey, p_name || '/' || p_brand || '/' || p_type AS code FROM part)
-  SELECT p.code, p.p_partkey FROM p JOIN (SELECT code, min(p_partkey) AS k FROM p WHERE p_partkey BETWEEN 300 AND 600 GROUP BY 1) s ON s.code = p.code WHERE p_partkey < 300 AND p_partkey <> k"""),
-    "all_unique_conflicts": (all_unique_conflicts, None),
+  SELECT p.code, p.p_partkey FROM p JOIN (SELECT code, min(p_partkey) AS k FROM p GROUP BY 1) s ON s.code = p.code WHERE p_partkey <> k"""),
     "sync_validation": (sync_validation, _W + """SELECT o_orderstatus, target_rows, source_rows, CASE WHEN target_rows < source_rows THEN 'deficit' ELSE 'ok' END AS verdict
   FROM (SELECT o_orderstatus, count(*) AS target_rows FROM target GROUP BY 1) FULL JOIN (SELECT o_orderstatus, count(*) AS source_rows FROM source GROUP BY 1) USING (o_orderstatus)"""),
     "table_diff": (table_diff, _W + """, a AS (SELECT *, count(*) AS n FROM target GROUP BY ALL), b AS (SELECT *, count(*) AS m FROM source GROUP BY ALL)

@@ -176,9 +176,9 @@ def voting_members_in_range(spark, d):
 
 
 def inferred_absence(spark, d):
-    """Known members of a body who cast no vote on its motions of 1998-07."""
+    """Known members of a body who cast no vote on its motions, every motion."""
     known = active_members(spark, d).select("body", "member_id")
-    held = meetings(spark, d).where(F.col("meeting_date").between("1998-07-01", "1998-07-31")).select(F.col("meeting_id").alias("motion_id"), "body")
+    held = meetings(spark, d).select(F.col("meeting_id").alias("motion_id"), "body")
     return held.join(known, "body").join(member_votes(spark, d).select("motion_id", "member_id"), ["motion_id", "member_id"], "left_anti").select("motion_id", "body", "member_id")
 
 
@@ -236,6 +236,5 @@ PLANS = {
     "active_members": (active_members, with_views("attendance", "meetings", more=_ACTIVE) + "SELECT * FROM active"),
     "voting_members_in_range": (voting_members_in_range, with_views(*_V) + f"SELECT DISTINCT body, member_id {_JOINED} WHERE meeting_date BETWEEN '1996-01-01' AND '1996-12-31'"),
     "inferred_absence": (inferred_absence, with_views("attendance", "meetings", "member_votes", more=_ACTIVE) + """SELECT meeting_id AS motion_id, g.body, k.member_id
-  FROM meetings g JOIN active k USING (body) WHERE meeting_date BETWEEN '1998-07-01' AND '1998-07-31'
-  AND NOT EXISTS (SELECT 1 FROM member_votes v WHERE v.motion_id = g.meeting_id AND v.member_id = k.member_id)"""),
+  FROM meetings g JOIN active k USING (body) WHERE NOT EXISTS (SELECT 1 FROM member_votes v WHERE v.motion_id = g.meeting_id AND v.member_id = k.member_id)"""),
 }

@@ -1,4 +1,4 @@
-"""Whole queries of the review of round 1, against brute force on small tables beyond the ids that their parts cover."""
+"""Whole queries of the review of round 1, against brute force on small tables ."""
 
 import collections
 import datetime
@@ -31,7 +31,7 @@ def run(spark, small, name):
     return registry.queries()[name](spark, small[0]).collect()
 
 
-def test_all_type_conflicts(spark, small):
+def test_type_conflicts(spark, small):
     mentions = {}
     for _, p, *_ in small[1]["lineitem"]:
         mentions[p] = mentions.get(p, 0) + 1
@@ -41,39 +41,39 @@ def test_all_type_conflicts(spark, small):
             if i < j and name == other and kind != other_kind:
                 m, o = mentions.get(i, 0), mentions.get(j, 0)
                 want.add((name, i, j, j if (m <= 2 and o > 3 * m) or other_kind < kind else i))
-    got = run(spark, small, "all_type_conflicts")
+    got = run(spark, small, "type_conflicts")
     assert len(got) == len(want) and {tuple(r) for r in got} == want and max(r.id for r in got) > 400
 
 
-def test_all_entities_by_jurisdiction(spark, small):
+def test_entity_by_jurisdiction(spark, small):
     want = {}
     for _, p, *_ in small[1]["lineitem"]:
         want[p] = want.get(p, 0) + 1
-    assert {(r.id, r.jurisdiction_id, r.mentions, r.meetings) for r in run(spark, small, "all_entities_by_jurisdiction")} == {(p, 1, n, n) for p, n in want.items()}
+    assert {(r.id, r.jurisdiction_id, r.mentions, r.meetings) for r in run(spark, small, "entity_by_jurisdiction")} == {(p, 1, n, n) for p, n in want.items()}
 
 
-def test_all_linked_participants(spark, small):
+def test_linked_participants(spark, small):
     first = {}
     for i, name, *_ in small[1]["part"]:
         first[name] = min(i, first.get(name, i))
-    got = {(r.id, r.name): (r.entity_id, r.confidence) for r in run(spark, small, "all_linked_participants")}
+    got = {(r.id, r.name): (r.entity_id, r.confidence) for r in run(spark, small, "linked_participants")}
     names = ("cold bolt", "cold gear", "cold rod")
     exact = {(m, names[m % 3]): (first[names[m % 3]], 0.95) for m, *_ in small[1]["orders"] if names[m % 3] in first}
     assert {k: v for k, v in got.items() if v[1] == 0.95} == exact and max(m for m, _ in exact) >= 300
 
 
-def test_all_unique_conflicts(spark, small):
+def test_unique_conflicts(spark, small):
     first, want = {}, set()
     for i, name, brand, kind in small[1]["part"]:
         first[name, brand, kind] = min(i, first.get((name, brand, kind), i))
     for i, *code in small[1]["part"]:
         if first[tuple(code)] != i:
             want.add(("/".join(code), i))
-    got = run(spark, small, "all_unique_conflicts")
+    got = run(spark, small, "unique_conflicts")
     assert len(got) == len(want) and {(r.code, r.p_partkey) for r in got} == want and max(i for _, i in want) > 600
 
 
-def test_all_revision_history(spark, small):
+def test_revision_history(spark, small):
     cases = collections.defaultdict(list)
     for item, case, *_, at in small[1]["orders"]:
         cases[case].append((at.date(), item))
@@ -81,37 +81,37 @@ def test_all_revision_history(spark, small):
     for case, held in cases.items():
         held.sort()
         want |= {(case, item, day.isoformat(), n + 1, (day - held[n - 1][0]).days if n else None) for n, (day, item) in enumerate(held)}
-    got = run(spark, small, "all_revision_history")
+    got = run(spark, small, "revision_history")
     assert len(got) == len(want) and {tuple(r) for r in got} == want
 
 
-def test_whole_token_index(spark, small):
+def test_token_index(spark, small):
     terms = collections.defaultdict(list)
     for i, text in small[1]["documents"]:
         for t in re.findall("[a-z0-9]+", text.lower()):
             terms[t].append(i)
-    assert {tuple(r) for r in run(spark, small, "whole_token_index")} == {(t, len(set(ids)), len(ids)) for t, ids in terms.items()}
+    assert {tuple(r) for r in run(spark, small, "token_index")} == {(t, len(set(ids)), len(ids)) for t, ids in terms.items()}
 
 
-def test_all_sliding_windows(spark, small):
+def test_sliding_windows(spark, small):
     want = collections.Counter()
     for *_, at in small[1]["events"]:
         begins = at.replace(hour=at.hour // 6 * 6, minute=0)
         want.update((begins - datetime.timedelta(hours=6 * k)).strftime("%Y-%m-%d %H") for k in range(4))
-    assert {r.start: r.views for r in run(spark, small, "all_sliding_windows")} == want and max(want) > "2024-01-04"
+    assert {r.start: r.views for r in run(spark, small, "sliding_windows")} == want and max(want) > "2024-01-04"
 
 
-def test_monthly_supporting_edges(spark, small):
+def test_supporting_edges(spark, small):
     held, seen = collections.defaultdict(set), collections.defaultdict(set)
     for m, *_, at in small[1]["orders"]:
         held["NATION_0", at.strftime("%Y-%m")].add(m)
     for m, _, member, _ in small[1]["lineitem"]:
         seen[member].add(m)
     want = {(body, month, member, len(ids)) for (body, month), ids in held.items() for member in seen if ids <= seen[member]}
-    assert {tuple(r) for r in run(spark, small, "monthly_supporting_edges")} == want and len(want) == 2
+    assert {tuple(r) for r in run(spark, small, "supporting_edges")} == want and len(want) == 2
 
 
-def test_similar_merge_plan(spark, tmp_path):
+def test_merge_plan(spark, tmp_path):
     """Against all pairs: words in another order, a suffix, containment without a shared word, a chain, an acronym."""
     names = ["river oak trust", "trust river oak", "river oak trust llc", "Acme", "Acme LLC", "oldbolt", "coldbolts", "Salt Power", "SP", "ab", "xaby", "lone", "lone", None, None, ""]
     con = duckdb.connect()
@@ -136,5 +136,5 @@ def test_similar_merge_plan(spark, tmp_path):
     for i, g in group.items():
         held[g].append(i)
     want = {(min(ids, key=lambda i: (-mentions[i], i)), len(ids), sum(mentions[i] for i in ids), len(ids) - 1) for ids in held.values()}
-    got = {tuple(r) for r in registry.queries()["similar_merge_plan"](spark, str(tmp_path)).collect()}
+    got = {tuple(r) for r in registry.queries()["merge_plan"](spark, str(tmp_path)).collect()}
     assert got == want and max(n for _, n, *_ in want) == 3

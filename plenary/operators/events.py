@@ -4,24 +4,60 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Verbs with their event type and outcome.
-VERBS = (
-    ("approved as amended", "decision.approval", "approved_as_amended"),
-    ("approved", "decision.approval", "approved"),
-    ("denied", "decision.denial", "denied"),
-    ("continued", "decision.continuance", "continued"),
-    ("tabled", "decision.continuance", "tabled"),
-    ("withdrawn", "decision.withdrawal", "withdrawn"),
-)
+VERBS = {
+    "approved": ("decision.approval", "approved"),
+    "approved_with_conditions": ("decision.approval", "approved_with_conditions"),
+    "approved_with_stipulations": ("decision.approval", "approved_with_stipulations"),
+    "approved_subject_to": ("decision.approval", "approved_subject_to"),
+    "approved_subject_to_conditions": ("decision.approval", "approved_subject_to"),
+    "approved_subject_to_stipulations": ("decision.approval", "approved_subject_to"),
+    "approved_as_amended": ("decision.approval", "approved_as_amended"),
+    "denied": ("decision.denial", "denied"),
+    "denied_without_prejudice": ("decision.denial", "denied_without_prejudice"),
+    "continued": ("decision.continuation", "continued"),
+    "tabled": ("decision.continuation", "tabled"),
+    "deferred": ("decision.continuation", "deferred"),
+    "extended": ("decision.continuation", "extended"),
+    "adopted": ("legislation.adoption", "adopted"),
+    "introduced": ("legislation.introduction", "introduced"),
+    "amended": ("legislation.amendment", "amended"),
+    "received": ("procedure.receipt", "received"),
+    "received_and_filed": ("procedure.receipt", "received"),
+    "discussed": ("procedure.discussion", "discussed"),
+    "discussion_only": ("procedure.discussion", "discussed"),
+    "for_discussion": ("procedure.discussion", "discussed"),
+    "preliminary_review": ("procedure.discussion", "reviewed"),
+    "withdrawn": ("decision.continuation", "withdrawn"),
+    "sustained": ("decision.approval", "sustained"),
+    "vacated": ("decision.approval", "vacated"),
+    "called_to_order": ("procedure.discussion", "called_to_order"),
+    "no_action": ("procedure.discussion", "no_action"),
+    "no_response": ("procedure.discussion", "no_response"),
+    "discussion": ("procedure.discussion", "discussed"),
+}
+#: Outcomes of procedure, which may be left out downstream.
+PROCEDURAL = ("called_to_order", "no_action", "no_response")
 #: Words shortly before a verb that make it no event.
 GUARDS = r"\b(?:not|never|would|could|should|may|might|previously|if|unless)\b[^.]{0,24}$"
-_PATTERN = re.compile(r"\b(" + "|".join(re.escape(v) for v, _, _ in VERBS) + r")\b", re.I)
+_PATTERN = re.compile(r"\b(" + "|".join(v.replace("_", r"\s+") for v in sorted(VERBS, key=len, reverse=True)) + r")\b", re.I)
 _GUARD = re.compile(GUARDS, re.I)
 _CASE = re.compile(r"\b[A-Z]{1,3}-\d{2,6}(?:-\d{1,6})*\b")
-_KINDS = {v: (kind, outcome) for v, kind, outcome in VERBS}
+
+
+def verb_key(verb: Column) -> Column:
+    """A verb as it is looked up: one underscore for all white space, lower case."""
+    return F.replace(F.lower(F.trim(F.regexp_replace(verb, r"\s+", " "))), F.lit(" "), F.lit("_"))
+
+
+def event_of(verb: Column) -> Column:
+    """kind and outcome of a verb; null if it isn't known."""
+    known = F.create_map(*(x for v, (kind, outcome) in VERBS.items() for x in (F.lit(v), F.struct(F.lit(kind).alias("kind"), F.lit(outcome).alias("outcome")))))
+    return F.try_element_at(known, verb_key(verb))
+
 
 EVENT_SCHEMA = "id long, start int, end int, verb string, kind string, outcome string, case_number string, confidence float"
 
@@ -42,7 +78,7 @@ def extract_events(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 for m in _PATTERN.finditer(text or ""):
                     if _GUARD.search(text[max(0, m.start() - 40) : m.start()]):
                         continue
-                    kind, outcome = _KINDS[m[1].lower()]
+                    kind, outcome = VERBS[re.sub(r"\s+", "_", m[1].lower())]
                     near = _CASE.search(text, max(0, m.start() - 80), m.end() + 80)
                     rows.append((i, m.start(), m.end(), m[1].lower(), kind, outcome, near[0] if near else None, 0.9 if near else 0.6))
             columns = list(zip(*rows, strict=True)) or [[]] * 8

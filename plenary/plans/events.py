@@ -107,7 +107,7 @@ _ACT = """x AS (SELECT meeting_id, CASE WHEN meeting_id % 6 = 0 THEN 'Item might
   CASE status WHEN 'complete' THEN 'approved' WHEN 'failed' THEN 'denied' ELSE 'continued' END AS v0, status = 'complete' AND meeting_id % 11 = 0 AS amended,
   CASE WHEN meeting_id % 4 = 0 THEN 'Z-' || lpad((meeting_id % 1000)::VARCHAR, 3, '0') END AS case_number FROM meetings),
  ev AS (SELECT meeting_id AS id, (length(guard) + length('Motion was '))::INT AS start, CASE WHEN amended THEN 'approved as amended' ELSE v0 END AS verb,
-  CASE v0 WHEN 'approved' THEN 'decision.approval' WHEN 'denied' THEN 'decision.denial' ELSE 'decision.continuance' END AS kind,
+  CASE v0 WHEN 'approved' THEN 'decision.approval' WHEN 'denied' THEN 'decision.denial' ELSE 'decision.continuation' END AS kind,
   CASE WHEN amended THEN 'approved_as_amended' ELSE v0 END AS outcome, case_number FROM x)"""
 
 PLANS = {

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.text import name_similarity, org_name, tokens, vocabulary_of
+from ..functions.text import name_similarity, normalised_tokens, org_name, tokens, vocabulary_of
 from ..operators.relational import distinct_on, top_per_group
 from ..operators.resolution import blocked_pairs, components, survivors
 from ..sources.civic import attendance, meetings, table, with_views
@@ -131,14 +131,14 @@ def _alike(names):
     """Pairs (a, b) of names with a similarity of 0.85 or more.
 
     All of them share a word, or one contains the other: then its first three
-    characters are among those of the longer. Acronyms count 0.75 and can't merge.
+    characters are three of the longer's in a row. Acronyms count 0.75 and can't merge.
     """
     shared = blocked_pairs(names, "id", tokens(F.col("id"))).select(F.col("id").alias("a"), F.col("other_id").alias("b"))
-    heads = names.select(F.col("id").alias("a"), F.left("id", F.lit(3)).alias("_block")).where("a <> ''")
-    at = F.sequence(F.lit(1), F.length("id"))
-    parts = F.flatten(F.transform(at, lambda i: F.array(*(F.substring(F.col("id"), i, F.lit(n)) for n in (1, 2, 3)))))
-    longer = names.where("id <> ''").select(F.col("id").alias("b"), F.explode(F.array_distinct(parts)).alias("_block"))
-    inside = heads.join(longer, "_block").where((F.col("a") != F.col("b")) & F.contains("b", "a")).select("a", "b")
+    plain = names.select("id", normalised_tokens(F.col("id")).alias("plain")).where(F.length("plain") >= 3)
+    heads = plain.select(F.col("id").alias("a"), F.col("plain").alias("inner"), F.left("plain", F.lit(3)).alias("_block"))
+    parts = F.transform(F.sequence(F.lit(1), F.length("plain") - 2), lambda i: F.substring(F.col("plain"), i, F.lit(3)))
+    longer = plain.select(F.col("id").alias("b"), F.col("plain").alias("outer"), F.explode(F.array_distinct(parts)).alias("_block"))
+    inside = heads.join(longer, "_block").where((F.col("a") != F.col("b")) & F.contains("outer", "inner")).select("a", "b")
     return shared.union(inside).distinct().where(name_similarity(F.col("a"), F.col("b")) >= 0.85)
 
 
@@ -210,9 +210,11 @@ PLANS = {
     "type_conflicts": (type_conflicts, _ENT + """SELECT a.name, a.id, b.id AS other_id, CASE WHEN (a.mentions <= 2 AND b.mentions > 3 * a.mentions) OR b.kind < a.kind THEN b.id ELSE a.id END AS winner
   FROM entities a JOIN entities b ON a.name = b.name AND a.id < b.id AND a.kind <> b.kind"""),
     "duplicate_names": (duplicate_names, _ENT + "SELECT lower(name) AS name, count(*) AS entities, sum(mentions)::BIGINT AS mentions, min(id) AS keeper, count(*) - 1 AS excess FROM entities GROUP BY 1 HAVING count(*) > 1"),
-    "similar_names": (similar_names, """WITH n AS (SELECT DISTINCT p_name AS name, list_distinct(string_split_regex(lower(p_name), '[^a-z0-9]+')) AS t FROM part),
-  s AS (SELECT a.name, b.name AS other, len(list_intersect(a.t, b.t)) AS i, len(list_distinct(a.t || b.t)) AS u FROM n a JOIN n b ON a.name < b.name)
-  SELECT name, other, round(greatest(i / u, CASE WHEN contains(name, other) OR contains(other, name) THEN 0.85 ELSE 0 END), 4)::DOUBLE AS similarity FROM s WHERE i > 0 AND i / u > 0.3"""),
+    "similar_names": (similar_names, """WITH n AS (SELECT DISTINCT p_name AS name, list_distinct(string_split_regex(lower(p_name), '[^a-z0-9]+')) AS t,
+    list_aggregate(list_transform(string_split(p_name, ' '), lambda w: left(w, 1)), 'string_agg', '') AS initials FROM part),
+  s AS (SELECT a.name, b.name AS other, a.initials AS p, b.initials AS q, len(list_intersect(a.t, b.t)) AS i, len(list_distinct(a.t || b.t)) AS u FROM n a JOIN n b ON a.name < b.name)
+  SELECT name, other, round(greatest(i / u, CASE WHEN contains(name, other) OR contains(other, name) THEN 0.85 ELSE 0 END,
+    CASE WHEN length(p) > 1 AND (p = q OR contains(other, p) OR contains(name, q)) THEN 0.75 ELSE 0 END), 4)::DOUBLE AS similarity FROM s WHERE i > 0 AND i / u > 0.3"""),
     "equal_name_merges": (equal_name_merges, _ENT + """SELECT survivor, count(*) AS merged, sum(mentions)::BIGINT AS mentions, count(*) FILTER (id <> survivor) AS victims
   FROM (SELECT *, first_value(id) OVER (PARTITION BY name ORDER BY mentions DESC, id) AS survivor FROM entities) GROUP BY 1"""),
     "merge_plan": (merge_plan, None),

@@ -101,17 +101,17 @@ def _phrases(df: DataFrame) -> DataFrame:
     """A sentence for each meeting, made of its status, votes and kind, for the classifiers to read."""
     verb = F.when(F.col("status") == "complete", "approved").when(F.col("status") == "failed", "denied").otherwise("continued")
     kind = F.element_at(F.array(*map(F.lit, ("Executive", "Informal", "Formal", "Special", "Town"))), F.left("meeting_type", F.lit(1)).cast("int"))
-    note = F.when(F.col("meeting_id") % 11 == 0, " as amended").when(F.col("meeting_id") % 13 == 0, ", presentation only").otherwise("")
+    note = F.when((F.col("meeting_id") % 11 == 0) & (F.col("status") == "complete"), " as amended").when(F.col("meeting_id") % 13 == 0, ", presentation only").otherwise("")
     return df.withColumn("title", F.concat(kind, F.lit(" session of "), F.col("body"))).withColumn("action", F.concat(F.lit("Motion was "), verb, note))
 
 
 def classified_meetings(spark, d):
     m = _phrases(meetings(spark, d))
-    return m.groupBy(T.meeting_kind(F.col("title")).alias("kind"), T.lifecycle(F.col("action")).alias("lifecycle")).agg(F.count(F.lit(1)).alias("meetings"), F.min("meeting_date").alias("first_date"))
+    return m.groupBy(T.meeting_kind(F.lit(""), F.col("title")).alias("kind"), T.lifecycle(F.col("action")).alias("lifecycle")).agg(F.count(F.lit(1)).alias("meetings"), F.min("meeting_date").alias("first_date"))
 
 
 def classified_errors(spark, d):
-    e = table(spark, d, "events").withColumn("message", F.concat(F.lit("["), F.upper("event_type"), F.lit("] "), F.element_at(F.array(*map(F.lit, ("request timed out", "KeyError: k", "duplicate value", "odd"))), (F.col("event_id") % 4 + 1).cast("int"))))
+    e = table(spark, d, "events").withColumn("message", F.concat(F.lit("["), F.upper("event_type"), F.lit("] "), F.element_at(F.array(*map(F.lit, ("request timed out", "KeyError: k", "duplicate key violation", "odd"))), (F.col("event_id") % 4 + 1).cast("int"))))
     return e.groupBy(T.tagged_error(F.col("message")).alias("tag"), T.error_category(F.col("message")).alias("category")).agg(F.count(F.lit(1)).alias("events"))
 
 
@@ -121,7 +121,7 @@ def names_normalised(spark, d):
 
 
 def item_numbers(spark, d):
-    n = agenda_items(spark, d).withColumn("raw", F.concat(F.lit("0"), "item_number", F.lit(".0"), (F.col("part_id") % 20).cast("string"), F.lit(".a")))
+    n = agenda_items(spark, d).withColumn("raw", F.concat(F.lit("0"), "item_number", F.lit(".a"), (F.col("part_id") % 20).cast("string"), F.lit(".")))
     norm = T.item_number(F.col("raw"))
     return n.select(norm.alias("number")).distinct().select("number", T.item_parent(F.col("number")).alias("parent"), T.item_depth(F.col("number")).alias("depth"))
 
@@ -171,7 +171,7 @@ def page_links(spark, d):
 
 
 def highlighted_titles(spark, d):
-    return table(spark, d, "part").select("p_partkey", T.highlighted(F.concat(F.lit("<"), "p_name", F.lit(">")), "rod|ring").alias("marked"))
+    return table(spark, d, "part").select("p_partkey", T.highlighted(F.concat(F.lit("<"), "p_name", F.lit(">")), "ring").alias("marked"))
 
 
 _LIKE = "regexp_matches(text, '(?i)oning') OR regexp_matches(text, '(?i)queer')"
@@ -189,13 +189,13 @@ PLANS = {
   UNION ALL SELECT 'page', page_id, url FROM pages WHERE contains(url, '/en/')"""),
     "token_index": (token_index, """SELECT term, count(DISTINCT doc_id) AS documents, count(*) AS occurrences
   FROM (SELECT doc_id, unnest(string_split_regex(lower(text), '[^a-z0-9]+')) AS term FROM documents) WHERE term <> '' GROUP BY 1"""),
-    "classified_meetings": (classified_meetings, with_views("meetings", more="""p AS (SELECT meeting_date, CASE left(meeting_type, 1) WHEN '1' THEN 'executive' WHEN '2' THEN 'informal' WHEN '3' THEN 'formal' WHEN '4' THEN 'special' ELSE 'regular' END AS kind,
-  CASE WHEN meeting_id % 11 <> 0 AND meeting_id % 13 = 0 THEN 'informational' WHEN status IS NULL THEN 'continued'
+    "classified_meetings": (classified_meetings, with_views("meetings", more="""p AS (SELECT meeting_date, CASE left(meeting_type, 1) WHEN '1' THEN 'Executive' WHEN '2' THEN 'Informal' WHEN '3' THEN 'Formal' WHEN '4' THEN 'Special' ELSE 'Unknown' END AS kind,
+  CASE WHEN NOT coalesce(meeting_id % 11 = 0 AND status = 'complete', false) AND meeting_id % 13 = 0 THEN 'informational' WHEN status IS NULL THEN 'unknown'
        WHEN status = 'failed' THEN 'denied' WHEN meeting_id % 11 = 0 THEN 'approved_as_amended' ELSE 'approved' END AS lifecycle FROM meetings)""")
   + "SELECT kind, lifecycle, count(*) AS meetings, min(meeting_date) AS first_date FROM p GROUP BY 1, 2"),
     "classified_errors": (classified_errors, """SELECT upper(event_type) AS tag, CASE event_id % 4 WHEN 0 THEN 'TRANSIENT' WHEN 1 THEN 'CODE' WHEN 2 THEN 'DATA' ELSE 'UNKNOWN' END AS category, count(*) AS events FROM events GROUP BY 1, 2"""),
-    "names_normalised": (names_normalised, "SELECT s_suppkey, lower(s_name) AS person, lower(regexp_replace(s_name, '#', '#')) || ' and sons west' AS org, regexp_replace(lower(s_name), '[^a-z0-9]+', '-', 'g') || '-acting' AS slug FROM supplier"),
-    "item_numbers": (item_numbers, """SELECT DISTINCT l_linenumber || '.' || (l_partkey % 20) || '.A' AS number, l_linenumber || '.' || (l_partkey % 20) AS parent, 3::BIGINT AS depth FROM lineitem JOIN part ON l_partkey = p_partkey"""),
+    "names_normalised": (names_normalised, "SELECT s_suppkey, lower(replace(s_name, '#', '')) || ' treasurer' AS person, lower(replace(s_name, '#', '')) || ' and sonswest' AS org, regexp_replace(lower(s_name), '[^a-z0-9]+', '-', 'g') || '-acting' AS slug FROM supplier"),
+    "item_numbers": (item_numbers, """SELECT DISTINCT l_linenumber || '.A' || (l_partkey % 20) AS number, l_linenumber::VARCHAR AS parent, 1::BIGINT AS depth FROM lineitem JOIN part ON l_partkey = p_partkey"""),
     "case_numbers": (case_numbers, """SELECT 'Z-' || lpad((o_custkey % 500)::VARCHAR, 4, '0') AS base, count(*) AS items, count(DISTINCT o_orderkey % 3) AS revisions FROM orders GROUP BY 1"""),
     "dates_normalised": (dates_normalised, with_views("meetings") + "SELECT meeting_id, CASE WHEN meeting_id % 4 <> 2 THEN meeting_date END AS day FROM meetings"),
     "vocabulary_scores": (vocabulary_scores, """WITH t AS (SELECT b.item_id AS doc_id,
@@ -210,5 +210,5 @@ PLANS = {
     "page_titles": (page_titles, """SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, len(regexp_extract_all(html, '<a href=')) AS links,
   len(regexp_extract_all(html, '<p[ >]')) AS paragraphs FROM pages"""),
     "page_links": (page_links, """SELECT href, count(DISTINCT page_id) AS pages, count(*) AS links FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages) GROUP BY 1"""),
-    "highlighted_titles": (highlighted_titles, "SELECT p_partkey, '&lt;' || regexp_replace(p_name, '(rod|ring)', '<mark>\\1</mark>', 'g') || '&gt;' AS marked FROM part"),
+    "highlighted_titles": (highlighted_titles, "SELECT p_partkey, '&lt;' || replace(p_name, 'ring', '<mark>ring</mark>') || '&gt;' AS marked FROM part"),
 }

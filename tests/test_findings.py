@@ -122,9 +122,10 @@ def test_merge_plan(spark, tmp_path):
     mentions = collections.Counter(i * i % len(names) for i in range(40))
 
     def alike(a, b):
-        x, y = (set(re.findall("[a-z0-9]+", n.lower())) for n in (a, b))
+        a, b = (" ".join(re.findall("[a-z0-9]+", n.lower())) for n in (a, b))
+        x, y = set(a.split()), set(b.split())
         short, long = sorted((a, b), key=len)
-        return (x | y and len(x & y) / len(x | y) >= 0.85) or (short and short in long and len(short) > 0.25 * len(long))
+        return (x | y and len(x & y) / len(x | y) >= 0.85) or (len(short) >= 3 and short in long and len(short) > 0.25 * len(long))
 
     group = {i: i for i in range(len(names))}
     for i, a in enumerate(names):

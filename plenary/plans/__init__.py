@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from . import cases, events, graph, meetings, quality, replication, text, votes
+from . import cases, events, governance, graph, meetings, quality, replication, text, votes
 
-CATALOGUE = {k: v for m in (votes, meetings, text, graph, quality, replication, events, cases) for k, v in m.PLANS.items()}
+CATALOGUE = {k: v for m in (votes, meetings, text, graph, quality, replication, events, cases, governance) for k, v in m.PLANS.items()}

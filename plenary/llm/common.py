@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -30,16 +29,29 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+#: Has Spark delete a query's shuffle files when it ends; collecting garbage on the driver doesn't do that soon enough.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def write(df: DataFrame, path: str) -> DataFrame:
+    """Write ``df`` to ``path`` and read it back; its shuffle files go when it is written."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP)
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(CLEANUP, before)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs the tasks it ran, not the
     plan, and values made by non-deterministic expressions are pinned.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return write(df, f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}")
 
 
 class Scratch:
@@ -55,9 +67,7 @@ class Scratch:
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
         self.paths.setdefault(name, []).append(path)
-        df.write.parquet(path)
-        release(self.spark)
-        return self.spark.read.schema(df.schema).parquet(path)
+        return write(df, path)
 
     def drop(self, *names: str) -> None:
         """Delete the tables of these names; those made of them must have been written."""
@@ -74,16 +84,6 @@ class Scratch:
             self.drop(*list(self.paths))
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete shuffle files that no plan needs any more.
-
-    It does so when the driver collects garbage, which between two large written
-    tables may not happen by itself.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 #: How to forget what a module remembers between tasks of a reused worker, by the memo's name.
 _FORGET: dict[str, Callable[[], None]] = {}
 
@@ -94,9 +94,19 @@ def remembers(name: str, forget: Callable[[], None]) -> None:
 
 def begin(name: str | None = None) -> None:
     """A task begins that uses the memo ``name``, or none: a worker holds one memo at a time."""
+    import ctypes
+
+    import pyarrow as pa
+
     for other, forget in _FORGET.items():
         if other != name:
             forget()
+    # give the system back what the last task used
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
 
 
 def slices(batches, column: int = 1, rows: int = 500, size: int = 4 << 20):

@@ -29,19 +29,22 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
-#: Has Spark delete a query's shuffle files when it ends; collecting garbage on the driver doesn't do that soon enough.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings while a table is written: Spark deletes a query's shuffle files when it ends (collecting garbage on the
+#: driver doesn't do that soon enough), and batches that go to Python are small, so their buffers are.
+SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "6m"}
 
 
 def write(df: DataFrame, path: str) -> DataFrame:
-    """Write ``df`` to ``path`` and read it back; its shuffle files go when it is written."""
+    """Write ``df`` to ``path`` under ``SETTINGS``, which are set back after, and read it."""
     conf = df.sparkSession.conf
-    before = conf.get(CLEANUP)
-    conf.set(CLEANUP, "true")
+    before = {name: conf.get(name) for name in SETTINGS}
     try:
+        for name, value in SETTINGS.items():
+            conf.set(name, value)
         df.write.parquet(path)
     finally:
-        conf.set(CLEANUP, before)
+        for name, value in before.items():
+            conf.set(name, value)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

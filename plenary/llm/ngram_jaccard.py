@@ -39,7 +39,7 @@ from .common import Scratch, begin, documents, remembers, slices
 from .components import components
 
 WORDS, PERCENT = 4, 85
-ZONE, WIDE = 0.2, 0.3
+ZONE, WIDE = 0.2, 0.6
 STARS = 2
 #: Shingles of members of a component that are compared at once when links are counted.
 BLOCK = 200_000

@@ -14,7 +14,8 @@ how many classes hold them, the others after, by hash; the zone nearly always
 covers a prefix, so only its shingles are counted, and where it falls short the
 rest of the prefix is sent along. It leaves the documents whose prefixes meet
 another's, a small part. Whole sets of these alone are ordered in the second
-pass, with a wider zone, ``WIDE``, which makes groups and pairs.
+pass, with a wider zone, ``wide`` (all, unless shuffles must be smaller), which
+makes groups and pairs.
 
 For components, links between documents that are connected already are left
 out. In ``STARS`` rounds, the groups of each shingle are paired with one
@@ -39,7 +40,7 @@ from .common import Scratch, begin, documents, remembers, slices
 from .components import components
 
 WORDS, PERCENT = 4, 85
-ZONE, WIDE = 0.2, 0.6
+ZONE, WIDE = 0.2, 1.0
 STARS = 2
 #: Shingles of members of a component that are compared at once when links are counted.
 BLOCK = 200_000
@@ -295,7 +296,7 @@ def _remaining(postings: DataFrame, placed: DataFrame, percent: int) -> DataFram
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, text_col: str = "text", id_col: str = "doc_id", count_links: bool = True) -> DataFrame:
+def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, text_col: str = "text", id_col: str = "doc_id", count_links: bool = True, wide: float = WIDE) -> DataFrame:
     """doc_id, n_shingles, component_id, and n_links, of every row of ``docs``.
 
     n_links is the number of other sets of shingles that a row's set links
@@ -324,7 +325,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
         tables.drop("near")
         sets = tables.write(_sets(docs, wanted, words, text_col, id_col), "sets")
         # among them, an order by how many of these sets hold a shingle
-        sized = sets.select("id", F.size("tokens").alias("n"), F.size(F.filter("tokens", lambda t: t < _cut(WIDE))).alias("zone"), "tokens")
+        sized = sets.select("id", F.size("tokens").alias("n"), (F.size("tokens") if wide >= 1 else F.size(F.filter("tokens", lambda t: t < _cut(wide)))).alias("zone"), "tokens")
         needed = F.greatest(F.col("zone"), F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100).cast("int") + 1)
         prefixes = tables.write(_prefixes(sized.withColumn("tokens", F.slice("tokens", F.lit(1), needed)), percent), "prefixes")
         tables.drop("wanted")

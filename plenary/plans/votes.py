@@ -176,10 +176,11 @@ def voting_members_in_range(spark, d):
 
 
 def inferred_absence(spark, d):
-    """Known members of a body who cast no vote on its motions, every motion."""
+    """Of each body's known members the motions, of all, that they cast no vote on: how many, and the first."""
     known = active_members(spark, d).select("body", "member_id")
     held = meetings(spark, d).select(F.col("meeting_id").alias("motion_id"), "body")
-    return held.join(known, "body").join(member_votes(spark, d).select("motion_id", "member_id"), ["motion_id", "member_id"], "left_anti").select("motion_id", "body", "member_id")
+    missed = held.join(known, "body").join(member_votes(spark, d).select("motion_id", "member_id"), ["motion_id", "member_id"], "left_anti")
+    return missed.groupBy("body", "member_id").agg(F.count(F.lit(1)).alias("missed"), F.min("motion_id").alias("first_missed"))
 
 
 _V = ("member_votes", "motions", "meetings")
@@ -235,6 +236,6 @@ PLANS = {
   {_JOINED} WHERE is_split GROUP BY ALL"""),
     "active_members": (active_members, with_views("attendance", "meetings", more=_ACTIVE) + "SELECT * FROM active"),
     "voting_members_in_range": (voting_members_in_range, with_views(*_V) + f"SELECT DISTINCT body, member_id {_JOINED} WHERE meeting_date BETWEEN '1996-01-01' AND '1996-12-31'"),
-    "inferred_absence": (inferred_absence, with_views("attendance", "meetings", "member_votes", more=_ACTIVE) + """SELECT meeting_id AS motion_id, g.body, k.member_id
-  FROM meetings g JOIN active k USING (body) WHERE NOT EXISTS (SELECT 1 FROM member_votes v WHERE v.motion_id = g.meeting_id AND v.member_id = k.member_id)"""),
+    "inferred_absence": (inferred_absence, with_views("attendance", "meetings", "member_votes", more=_ACTIVE) + """SELECT g.body, k.member_id, count(*) AS missed, min(meeting_id) AS first_missed
+  FROM meetings g JOIN active k USING (body) WHERE NOT EXISTS (SELECT 1 FROM member_votes v WHERE v.motion_id = g.meeting_id AND v.member_id = k.member_id) GROUP BY 1, 2"""),
 }

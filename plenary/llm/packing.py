@@ -51,7 +51,7 @@ class ChunkIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.young: dict[bytes, bytes] = {}
+        self.young: dict[bytes, bytes] = {b"": b""}
         self.old: dict[bytes, bytes] = {}
         self.words: dict[str, bytes] = {}
         with open(path, encoding="utf-8") as f:
@@ -109,28 +109,37 @@ class ChunkIds:
         found.update((chunk, flat[a:b]) for chunk, a, b in zip(chunks, [0, *ends], ends, strict=False))
         return found
 
-    def texts(self, texts: list[bytes | None], at_once: int = 6_000_000):
-        """Ids of each text in turn; chunks are held for ``at_once`` bytes of text."""
-        at = 0
-        while at < len(texts):
-            end, size = at, 0
-            while end < len(texts) and (end == at or size + len(texts[end] or b"") <= at_once):
-                size += len(texts[end] or b"")
-                end += 1
-            split = [(text or b"").split() for text in texts[at:end]]
-            needed, young, old = set().union(*split), self.young, self.old
-            new = needed.difference(young)
+    def texts(self, texts, at_once: int = 6_000_000):
+        """Ids of each of ``texts`` (a list or an Arrow array of bytes or null) in turn.
+
+        About ``at_once`` bytes of text are cut into chunks at a time; equal
+        chunks are looked up once, and the ids of all gathered from these.
+        """
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        given = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.binary()), b"")
+        for part in slices([pa.RecordBatch.from_arrays([given], ["text"])], 0, max(1, len(given)), at_once):
+            split = pc.ascii_split_whitespace(part.column(0).view(pa.string()))
+            coded = split.flatten().dictionary_encode()
+            chunks, young, old = coded.dictionary.view(pa.binary()).to_numpy(zero_copy_only=False).tolist(), self.young, self.old
+            new = set(chunks).difference(young)
             for chunk in new.intersection(old):
                 young[chunk] = old[chunk]
             new.difference_update(old)
             young.update(self.learn(list(new)))
-            for chunks in split:
-                yield b"".join(map(young.__getitem__, chunks))
+            # ids as bytes of one buffer, in the order of the chunks
+            taken = pa.array(list(map(young.__getitem__, chunks)), pa.large_binary()).take(coded.indices)
+            offsets, flat = taken.buffers()[1:]
+            ends = np.cumsum(pc.list_value_length(split).to_numpy())
+            ends = np.frombuffer(offsets, np.int64)[ends].tolist()
+            flat = memoryview(flat or b"")
+            for a, b in zip([0, *ends], ends, strict=False):
+                yield bytes(flat[a:b])
             for chunk in [x for x in new if len(x) > MEMO_BYTES]:
                 del young[chunk]
             if len(young) > MEMO_ENTRIES:
-                self.young, self.old = {}, young
-            at = end
+                self.young, self.old = {b"": b""}, young
 
 
 #: One of each tokenizer file in a worker, whatever tasks it runs.
@@ -168,7 +177,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, separator:
         for batch in slices(batches, rows=2000, size=8 << 20):
             columns = [[] for _ in range(4)]
             doc_ids = batch.column(0).to_pylist()
-            for doc_id, ids in zip(doc_ids, memo.texts(batch.column(1).to_pylist()), strict=True):
+            for doc_id, ids in zip(doc_ids, memo.texts(batch.column(1)), strict=True):
                 ids += end
                 for piece, at in enumerate(range(0, len(ids), step)):
                     part = ids[at : at + step]

@@ -22,8 +22,8 @@ out. In ``STARS`` rounds, the groups of each shingle are paired with one
 central document (of the group with the fewest shingles of its own); pairs that
 sizes and places let through are expanded to the group's members: near copies
 of one text, however many, cost a comparison each. Then all remaining pairs of
-groups across components are filtered, expanded and compared, so no link
-between components is lost. Every link lies inside a component, so links are
+groups across components are filtered, also by sketches, which bound how alike
+two sets can be, expanded and compared, so no link between components is lost. Every link lies inside a component, so links are
 counted last, by comparing all members of each component, block by block.
 
 Classes are numbered, so rows that repeat an id with different texts stay
@@ -33,7 +33,7 @@ apart until the end, where the rows of an id are one document.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, begin, documents, remembers, slices
@@ -42,6 +42,8 @@ from .components import components
 WORDS, PERCENT = 4, 85
 ZONE, WIDE = 0.2, 1.0
 STARS = 2
+#: 64-bit numbers in the sketch of a set, by which pairs are filtered.
+LANES = 8
 #: Shingles of members of a component that are compared at once when links are counted.
 BLOCK = 200_000
 #: Words that a worker remembers at most, and the most bytes of one: some 60 MB.
@@ -129,8 +131,17 @@ def signatures(docs: DataFrame, words: int, percent: int, text_col: str, id_col:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary")).mapInArrow(run, "doc_id long, n int, signature binary, zone int, tokens array<long>")
 
 
+def sketch(found: np.ndarray) -> np.ndarray:
+    """A bit for each of 64 * ``LANES`` buckets of hashes: whether it holds an odd number of the set's shingles.
+
+    Sketches of two sets differ in no more bits than the sets in shingles.
+    """
+    odd = (np.bincount(found & (64 * LANES - 1), minlength=64 * LANES) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view("<i8")
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, words: int, text_col: str, id_col: str) -> DataFrame:
-    """id and whole set of the classes ``wanted`` (id, doc_id, signature), from the texts of those doc_ids."""
+    """id, sketch and whole set of the classes ``wanted`` (id, doc_id, signature), from the texts of those doc_ids."""
 
     def run(batches):
         import pyarrow as pa
@@ -141,10 +152,11 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int, text_col: str, id_col:
             found = [shingles(t, words) for t in batch.column(0).to_pylist()]
             ends = np.cumsum([0] + [len(x) for x in found]).astype(np.int32)
             signature = pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in found], pa.binary())
-            yield pa.RecordBatch.from_arrays([signature, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))], names=["signature", "tokens"])
+            bits = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * LANES), pa.array(np.concatenate([sketch(x) for x in found])))
+            yield pa.RecordBatch.from_arrays([signature, bits, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))], names=["signature", "bits", "tokens"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
-    return texts.select("text").mapInArrow(run, "signature binary, tokens array<long>").join(wanted.select("signature", "id"), "signature").dropDuplicates(["signature"]).select("id", "tokens")
+    return texts.select("text").mapInArrow(run, "signature binary, bits array<long>, tokens array<long>").join(wanted.select("signature", "id"), "signature").dropDuplicates(["signature"]).select("id", "bits", "tokens")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -243,6 +255,11 @@ def _fits(percent: int):
     return sizes & (F.lit(100 + percent) * most >= F.lit(percent) * (F.col("n") + F.col("other_n")))
 
 
+def _near(differ: Column, n: Column, other_n: Column, percent: int) -> Column:
+    """Whether sets of these sizes, whose sketches differ in ``differ`` bits or more, may link."""
+    return F.lit(100 + percent) * (n + other_n - differ) >= F.lit(2 * percent) * (n + other_n)
+
+
 def _posted(groups: DataFrame) -> DataFrame:
     """A row for each shingle of a group's prefix, of those that more than one group has."""
     kept = [c for c in groups.columns if c != "prefix"]
@@ -277,22 +294,30 @@ def _remaining(postings: DataFrame, placed: DataFrame, percent: int) -> DataFram
     """Pairs (a, b) of members, in different components, of all pairs of groups that sizes and places let through.
 
     Lists are split by bands of size, which only pairs of the same band or of
-    neighbouring ones can link across.
+    neighbouring ones can link across. Of large families of texts that are
+    alike, but not enough to link, sketches let few pairs through: first of
+    groups, by the bits that all members of one have and none of the other,
+    then of members.
     """
-    spans = placed.groupBy("gid").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("n").alias("n"), F.max("own").alias("own"))
+    lanes = range(LANES)
+    bits = [f(F.col("bits")[i]).alias(f"{name}_{i}") for i in lanes for f, name in ((F.bit_and, "all"), (F.bit_or, "any"))]
+    spans = placed.groupBy("gid").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("n").alias("n"), F.max("own").alias("own"), *bits)
     at = postings.drop("n", "own").join(spans, "gid")
     mixed = at.groupBy("token").agg(F.min("low").alias("l"), F.max("high").alias("h")).where("l <> h").select("token")
     at = at.join(mixed, "token").withColumn("band", F.floor(F.log(F.col("n")) / np.log(100 / percent) + 1e-9) if percent < 100 else F.col("n"))
-    other = at.select("token", F.col("band").alias("met"), F.col("pos").alias("other_pos"), F.col("gid").alias("other"), F.col("n").alias("other_n"), F.col("low").alias("other_low"), F.col("high").alias("other_high"))
+    other = at.select("token", F.col("band").alias("met"), F.col("pos").alias("other_pos"), F.col("gid").alias("other"), F.col("n").alias("other_n"), F.col("low").alias("other_low"), F.col("high").alias("other_high"), *(F.col(f"{name}_{i}").alias(f"other_{name}_{i}") for i in lanes for name in ("all", "any")))
     apart = (F.col("low") != F.col("other_low")) | (F.col("high") != F.col("other_high")) | (F.col("low") != F.col("high"))
     # a pair meets where its lower band reaches up: one band, as sizes a factor of percent apart can straddle one border
     reaching = at.withColumn("met", F.explode(F.array(F.col("band"), F.col("band") + 1)))
     once = (F.col("met") > F.col("band")) | (F.col("gid") < F.col("other"))
-    pairs = reaching.join(other, ["token", "met"]).where(once & _fits(percent) & apart).select("gid", "other").distinct()
+    only = [F.col(f"all_{i}").bitwiseAND(F.bitwise_not(f"other_any_{i}")).bitwiseOR(F.col(f"other_all_{i}").bitwiseAND(F.bitwise_not(f"any_{i}"))) for i in lanes]
+    near = _near(sum(map(F.bit_count, only)), F.col("n"), F.col("other_n"), percent)
+    pairs = reaching.join(other, ["token", "met"]).where(once & _fits(percent) & apart & near).select("gid", "other").distinct()
     alike = F.lit(100 + percent) * (F.col("n") - F.col("own")) >= F.lit(2 * percent) * F.col("n")  # as _fits has it, for members of one group
     pairs = pairs.union(spans.where((F.col("low") != F.col("high")) & alike).select("gid", F.col("gid").alias("other")))
-    one, two = (placed.select(F.col("gid").alias(g), F.col("id").alias(i), F.col("component").alias(f"component_{i}")) for g, i in (("gid", "x"), ("other", "y")))
-    met = pairs.join(one, "gid").join(two, "other").where((F.col("component_x") != F.col("component_y")) & ((F.col("gid") != F.col("other")) | (F.col("x") < F.col("y"))))
+    one, two = (placed.select(F.col("gid").alias(g), F.col("id").alias(i), F.col("component").alias(f"component_{i}"), F.col("n").alias(f"n_{i}"), F.col("bits").alias(f"bits_{i}")) for g, i in (("gid", "x"), ("other", "y")))
+    near = _near(sum(F.bit_count(F.col("bits_x")[i].bitwiseXOR(F.col("bits_y")[i])) for i in lanes), F.col("n_x"), F.col("n_y"), percent)
+    met = pairs.join(one, "gid").join(two, "other").where((F.col("component_x") != F.col("component_y")) & ((F.col("gid") != F.col("other")) | (F.col("x") < F.col("y"))) & near)
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
@@ -330,7 +355,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
         prefixes = tables.write(_prefixes(sized.withColumn("tokens", F.slice("tokens", F.lit(1), needed)), percent), "prefixes")
         tables.drop("wanted")
         groups = tables.write(prefixes.groupBy("n", "prefix").agg(F.min(F.struct("own", "id")).alias("least")).select("n", "prefix", "least.own", F.col("least.id").alias("gid")), "groups")
-        members = tables.write(prefixes.select("id", "n", "own", "prefix").join(groups.select("n", "prefix", "gid"), ["n", "prefix"]).select("id", "gid", "n", "own"), "members")
+        members = tables.write(prefixes.select("id", "n", "own", "prefix").join(groups.select("n", "prefix", "gid"), ["n", "prefix"]).join(sets.select("id", "bits"), "id").select("id", "gid", "n", "own", "bits"), "members")
         tables.drop("prefixes")
         postings = tables.write(_posted(groups), "postings")
         tables.drop("groups")

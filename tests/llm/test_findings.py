@@ -136,6 +136,41 @@ def test_jaccard_of_unlike_sizes_over_a_shared_passage(spark):
     assert {r.doc_id: r.component_id for r in ngram_jaccard.jaccard_components(df).collect()} == {i: find(i) for i in texts}
 
 
+def test_sketches_differ_no_more_than_sets():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for size in (0, 1, 40, 600, 20_000):
+        common, one, two = (np.unique(rng.integers(-(2**63), 2**63, n)) for n in (size, size // 5, size // 7 + 1))
+        x, y = ngram_jaccard.sketch(np.concatenate([common, one])), ngram_jaccard.sketch(np.concatenate([common, two]))
+        assert len(x) == ngram_jaccard.LANES
+        differ = sum(int(v).bit_count() for v in (x ^ y).view(np.uint64))
+        assert 0 < differ <= len(one) + len(two)
+
+
+@pytest.mark.parametrize("wide", [0.3, 1.0])
+def test_jaccard_of_a_family_that_straddles_the_threshold(spark, wide):
+    """Of many texts a little more or less alike than asked, no link between components is lost to a filter."""
+    rng = random.Random(14)
+    base, texts = [f"w{i}" for i in range(150)], {}
+    for i in range(140):
+        w = list(base)
+        for k in rng.sample(range(len(w)), rng.randrange(1, 7)):
+            w[k] = f"x{rng.randrange(400)}"
+        texts[i] = w
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in texts.items()}
+    parent = {i: i for i in texts}
+    find = lambda i: i if parent[i] == i else find(parent[i])
+    for a in texts:
+        for b in texts:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in ngram_jaccard.jaccard_components(df, 5, 80, count_links=False, wide=wide).collect()}
+    assert got == {i: find(i) for i in texts} and 3 < len(set(got.values())) < 137
+
+
 def python_vector(text):
     """The fingerprint of a text as the sum over its paragraphs, in plain Python."""
     import re

@@ -9,9 +9,10 @@ once only can't repeat and is dropped.
 A stretch is what lies from a selected position to the end of the first gram
 that makes ``PASSAGE`` words; stretches that occur twice are repeated passages,
 and cover the inside of long copies. Selected positions near the edges of what
-they cover, or outside, are sorted by gram and what follows, and compared with
-their neighbours in sorted order, which have the longest common continuation;
-matches are extended to the left. Sorted by gram and what comes before, the
+they cover, or outside, and those inside that share a gram with one of these,
+are sorted by gram and what follows, and compared with their neighbours in
+sorted order, which have the longest common continuation; matches are extended
+to the left. Sorted by gram and what comes before, the
 same is done the other way. The longest reach to either side bounds what a
 position can have; where one match has both, it is settled. Elsewhere (one
 occurrence has the longest reach to the left, another to the right) all
@@ -111,8 +112,12 @@ def anchors(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") ->
     return _rows(docs, text_col, id_col).mapInArrow(run, "doc_id long, copy long, positions array<int>, grams array<long>, stretches array<long>, stops array<int>")
 
 
+_COVERED = {"starts": "int", "stops": "int", "open": "int", "grams": "long", "inside": "int", "inside_grams": "long"}
+
+
 def _covered(listed: DataFrame) -> DataFrame:
-    """doc_id, copy, what repeated stretches cover (starts, stops), and the held positions that it doesn't settle (open), with their grams.
+    """doc_id, copy, what repeated stretches cover (starts, stops), and the held positions that it doesn't settle (open)
+    and those that it does (inside), with their grams.
 
     A position is settled if all windows about its gram lie in what is covered.
     """
@@ -122,7 +127,7 @@ def _covered(listed: DataFrame) -> DataFrame:
 
         for whole in batches:
             for at in range(0, whole.num_rows, 2000):
-                batch, columns = whole.slice(at, 2000), [[] for _ in range(4)]
+                batch, columns = whole.slice(at, 2000), [[] for _ in range(6)]
                 for grams, stretches in zip(*(batch.column(c).to_pylist() for c in (2, 3)), strict=True):
                     starts, stops = [], []
                     for s in sorted((s["position"], s["stop"]) for s in stretches):
@@ -134,12 +139,27 @@ def _covered(listed: DataFrame) -> DataFrame:
                     p = np.array([g["position"] for g in grams], np.int64)
                     k = np.searchsorted(starts, p, side="right") - 1
                     inside = (k >= 0) & (np.array([0, *starts])[k + 1] <= p - BESIDE) & (np.array([0, *stops])[k + 1] >= p + PASSAGE) if starts else np.zeros(len(p), bool)
-                    for column, value in zip(columns, (starts, stops, p[~inside].tolist(), [g["key"] for g, i in zip(grams, inside, strict=True) if not i]), strict=True):
+                    keys = np.array([g["key"] for g in grams], np.int64)
+                    for column, value in zip(columns, (starts, stops, p[~inside], keys[~inside], p[inside], keys[inside]), strict=True):
                         column.append(value)
-                types = (pa.int32(), pa.int32(), pa.int32(), pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.list_(t)) for c, t in zip(columns, types, strict=True))], names=["doc_id", "copy", "starts", "stops", "open", "grams"])
+                types = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.list_(t)) for c, t in zip(columns, types, strict=True))], names=["doc_id", "copy", *_COVERED])
+
+    return listed.select("doc_id", "copy", "grams", "stretches").mapInArrow(run, "doc_id long, copy long, " + ", ".join(f"{c} array<{t}>" for c, t in _COVERED.items()))
 
-    return listed.select("doc_id", "copy", "grams", "stretches").mapInArrow(run, "doc_id long, copy long, starts array<int>, stops array<int>, open array<int>, grams array<long>")
+
+def _wanted(covered: DataFrame, tables: Scratch) -> DataFrame:
+    """doc_id, copy, positions, grams: what is to be compared, open positions and all that share a gram with one.
+
+    A settled position has nothing to learn, but another text may repeat a part
+    of what covers it that is too short for a stretch, and meets it only here.
+    """
+    sought = tables.write(covered.select(F.explode("grams").alias("gram")).distinct(), "sought")  # as with repeated
+    inside = covered.select("doc_id", "copy", F.explode(F.arrays_zip("inside", "inside_grams")).alias("i")).select("doc_id", "copy", F.col("i.inside").alias("position"), F.col("i.inside_grams").alias("gram"))
+    met = inside.join(sought, "gram").groupBy("doc_id", "copy").agg(F.collect_list(F.struct("position", "gram")).alias("met"))
+    both = covered.select("doc_id", "copy", "open", "grams").join(met, ["doc_id", "copy"], "left").where("size(open) > 0 or met is not null")
+    more = lambda held, name: F.concat(held, F.coalesce(F.col(f"met.{name}"), F.array().cast(both.schema[held].dataType))).alias(f"{name}s")
+    return both.select("doc_id", "copy", more("open", "position"), more("grams", "gram"))
 
 
 _KEY = ["gram", "doc_id", "copy", "position"]
@@ -296,9 +316,9 @@ def repeated_passages(docs: DataFrame, text_col: str = "text", id_col: str = "do
         )
         covered = tables.write(_covered(listed), "covered")
         tables.drop("anchors", "repeated")
-        wanted = covered.where(F.size("open") > 0).select("doc_id", "copy", "open", "grams")
-        texts = _rows(docs, text_col, id_col).join(wanted, ["doc_id", "copy"]).dropDuplicates(["doc_id", "copy"]).select("doc_id", "copy", "text", "open", "grams")
+        texts = _rows(docs, text_col, id_col).join(_wanted(covered, tables), ["doc_id", "copy"]).dropDuplicates(["doc_id", "copy"]).select("doc_id", "copy", "text", "positions", "grams")
         contexts = tables.write(_contexts(texts), "contexts")
+        tables.drop("sought")
         right, left = _compared(contexts, "after", "before", tables), _compared(contexts, "before", "after", tables)
         reach = right.join(left, _KEY).where(F.col("reach_after") + F.col("reach_before") >= BESIDE)
         reach = tables.write(reach.withColumn("to_left", F.greatest("after_before", "before_before")).withColumn("to_right", F.greatest("after_after", "before_after")), "reach")

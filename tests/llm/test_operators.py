@@ -358,6 +358,18 @@ def test_repeated_passages_of_overlapping_parts(spark):
     assert marked(spark, texts) == repeats(texts)
 
 
+def test_repeated_passages_quoted_from_long_copies(spark):
+    """Each quote is too short for a stretch, and comes from the inside of a text that has one copy."""
+    rng, texts = random.Random(17), {}
+    word = lambda: f"w{rng.randrange(4000)}"
+    for i in range(12):
+        whole, a = [word() for _ in range(400)], rng.randrange(100, 240)
+        for k in range(2):
+            texts[3 * i + k] = [word() for _ in range(5)] + whole + [word() for _ in range(5)]
+        texts[3 * i + 2] = [word() for _ in range(20)] + whole[a : a + rng.randrange(50, 66)] + [word() for _ in range(20)]
+    assert marked(spark, texts) == repeats(texts)
+
+
 def test_repeated_passages_of_rows_that_share_an_id(spark):
     common, other = " ".join(f"c{i}" for i in range(80)), " ".join(f"o{i}" for i in range(80))
     df = spark.createDataFrame([(1, common), (1, other), (2, common), (None, other), (3, None), (4, ""), (1, other)], "doc_id long, text string")

@@ -63,6 +63,18 @@ def runs(df: DataFrame, keys: list[str], order: str, begins: Column) -> DataFram
     return df.withColumn("_new", F.coalesce(begins, F.lit(True)).cast("int")).withColumn("run", F.sum("_new").over(w)).drop("_new")
 
 
+def ranked(df: DataFrame, key: str, number: str, block: int = 4096) -> DataFrame:
+    """Each row's rank, from 1, among its key's, by a whole number that a key has once.
+
+    Rows are sorted in blocks of the number and only blocks by key, so no task sorts a whole key.
+    """
+    blocks = df.withColumn("_block", F.expr(f"`{number}` div {block}"))
+    sizes = blocks.groupBy(key, "_block").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select(key, "_block", (F.sum("_n").over(Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_before"))
+    nth = F.row_number().over(Window.partitionBy(key, "_block").orderBy(number))
+    return blocks.withColumn("_nth", nth).join(before, [key, "_block"]).withColumn("rank", F.col("_nth") + F.col("_before")).drop("_block", "_nth", "_before")
+
+
 def page(df: DataFrame, order: list, number: int, size: int) -> DataFrame:
     """One page of a total order, with the number of rows and pages."""
     total = df.agg(F.count(F.lit(1)).alias("total_count"))

@@ -33,7 +33,7 @@ apart until the end, where the rows of an id are one document.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, begin, documents, remembers, slices
@@ -44,6 +44,8 @@ ZONE, WIDE = 0.2, 1.0
 STARS = 2
 #: 64-bit numbers in the sketch of a set, by which pairs are filtered.
 LANES = 8
+#: Shingles before one in its prefix, by which a pair of groups that met at one of them is known.
+BEFORE = 6
 #: Shingles of members of a component that are compared at once when links are counted.
 BLOCK = 200_000
 #: Words that a worker remembers at most, and the most bytes of one: some 60 MB.
@@ -290,6 +292,27 @@ def _starred(postings: DataFrame, placed: DataFrame, star: int, percent: int) ->
     return met.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
 
 
+def _across(at: DataFrame, percent: int) -> DataFrame:
+    """Pairs (gid, other) of groups that may link across components; ``at`` has postings with each group's sizes, components and bits.
+
+    A pair is left out where it met shortly before, ``BEFORE`` shingles at most,
+    in both prefixes: at the first shingle that it shares it never is, and
+    sizes and places let it through there if they do later.
+    """
+    lanes = range(LANES)
+    at = at.withColumn("before", F.collect_list("token").over(Window.partitionBy("gid").orderBy("pos").rowsBetween(-BEFORE, -1)))
+    mixed = at.groupBy("token").agg(F.min("low").alias("l"), F.max("high").alias("h")).where("l <> h").select("token")
+    at = at.join(mixed, "token").withColumn("band", F.floor(F.log(F.col("n")) / np.log(100 / percent) + 1e-9) if percent < 100 else F.col("n"))
+    other = at.select("token", F.col("band").alias("met"), F.col("pos").alias("other_pos"), F.col("before").alias("other_before"), F.col("gid").alias("other"), F.col("n").alias("other_n"), F.col("low").alias("other_low"), F.col("high").alias("other_high"), *(F.col(f"{name}_{i}").alias(f"other_{name}_{i}") for i in lanes for name in ("all", "any")))
+    apart = (F.col("low") != F.col("other_low")) | (F.col("high") != F.col("other_high")) | (F.col("low") != F.col("high"))
+    # a pair meets where its lower band reaches up: one band, as sizes a factor of percent apart can straddle one border
+    reaching = at.withColumn("met", F.explode(F.array(F.col("band"), F.col("band") + 1)))
+    once = (F.col("met") > F.col("band")) | (F.col("gid") < F.col("other"))
+    only = [F.col(f"all_{i}").bitwiseAND(F.bitwise_not(f"other_any_{i}")).bitwiseOR(F.col(f"other_all_{i}").bitwiseAND(F.bitwise_not(f"any_{i}"))) for i in lanes]
+    near = _near(sum(map(F.bit_count, only)), F.col("n"), F.col("other_n"), percent)
+    return reaching.join(other, ["token", "met"]).where(once & _fits(percent) & apart & near & ~F.arrays_overlap("before", "other_before")).select("gid", "other")
+
+
 def _remaining(postings: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of members, in different components, of all pairs of groups that sizes and places let through.
 
@@ -302,17 +325,7 @@ def _remaining(postings: DataFrame, placed: DataFrame, percent: int) -> DataFram
     lanes = range(LANES)
     bits = [f(F.col("bits")[i]).alias(f"{name}_{i}") for i in lanes for f, name in ((F.bit_and, "all"), (F.bit_or, "any"))]
     spans = placed.groupBy("gid").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("n").alias("n"), F.max("own").alias("own"), *bits)
-    at = postings.drop("n", "own").join(spans, "gid")
-    mixed = at.groupBy("token").agg(F.min("low").alias("l"), F.max("high").alias("h")).where("l <> h").select("token")
-    at = at.join(mixed, "token").withColumn("band", F.floor(F.log(F.col("n")) / np.log(100 / percent) + 1e-9) if percent < 100 else F.col("n"))
-    other = at.select("token", F.col("band").alias("met"), F.col("pos").alias("other_pos"), F.col("gid").alias("other"), F.col("n").alias("other_n"), F.col("low").alias("other_low"), F.col("high").alias("other_high"), *(F.col(f"{name}_{i}").alias(f"other_{name}_{i}") for i in lanes for name in ("all", "any")))
-    apart = (F.col("low") != F.col("other_low")) | (F.col("high") != F.col("other_high")) | (F.col("low") != F.col("high"))
-    # a pair meets where its lower band reaches up: one band, as sizes a factor of percent apart can straddle one border
-    reaching = at.withColumn("met", F.explode(F.array(F.col("band"), F.col("band") + 1)))
-    once = (F.col("met") > F.col("band")) | (F.col("gid") < F.col("other"))
-    only = [F.col(f"all_{i}").bitwiseAND(F.bitwise_not(f"other_any_{i}")).bitwiseOR(F.col(f"other_all_{i}").bitwiseAND(F.bitwise_not(f"any_{i}"))) for i in lanes]
-    near = _near(sum(map(F.bit_count, only)), F.col("n"), F.col("other_n"), percent)
-    pairs = reaching.join(other, ["token", "met"]).where(once & _fits(percent) & apart & near).select("gid", "other").distinct()
+    pairs = _across(postings.drop("n", "own").join(spans, "gid"), percent).distinct()
     alike = F.lit(100 + percent) * (F.col("n") - F.col("own")) >= F.lit(2 * percent) * F.col("n")  # as _fits has it, for members of one group
     pairs = pairs.union(spans.where((F.col("low") != F.col("high")) & alike).select("gid", F.col("gid").alias("other")))
     one, two = (placed.select(F.col("gid").alias(g), F.col("id").alias(i), F.col("component").alias(f"component_{i}"), F.col("n").alias(f"n_{i}"), F.col("bits").alias(f"bits_{i}")) for g, i in (("gid", "x"), ("other", "y")))
